@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import canon, tokenize
+from . import canon, leak, tokenize
 
-_MODULES = (canon, tokenize)
+_MODULES = (canon, tokenize, leak)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -291,15 +291,14 @@ class Encoder:
         return ids, upto[np.searchsorted(start, byte_off)], np.cumsum(size) - size
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(path: str, shared) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[key]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(shared.value)
+    return _ENCODERS[path]
 
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, offsets: bool = False) -> DataFrame:
@@ -310,11 +309,12 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k",
     One pass over the rows without a shuffle; the vocabulary (its file has a fixed size) is broadcast.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(load_ranks(os.path.join(folder, f"{vocabulary}.tiktoken")))
+    path = os.path.join(folder, f"{vocabulary}.tiktoken")
+    shared = spark.sparkContext.broadcast(load_ranks(path))
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(shared)
+        enc = _encoder(path, shared)
         for whole in batches:
             for b in blocks(whole, "text"):
                 ids, at, starts = enc(b.column(1))
@@ -332,11 +332,12 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k",
 def decode(df: DataFrame, key: str, ids: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """Rows (key, text) from token ids; an empty or null list gives an empty text."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(load_ranks(os.path.join(folder, f"{vocabulary}.tiktoken")))
+    path = os.path.join(folder, f"{vocabulary}.tiktoken")
+    shared = spark.sparkContext.broadcast(load_ranks(path))
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(shared)
+        enc = _encoder(path, shared)
         for b in batches:
             lists = b.column(1)
             flat = np.asarray(lists.flatten())
