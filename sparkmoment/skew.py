@@ -31,11 +31,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, min_row
 
 
 def is_hot(keys: Sequence[str], hot: list) -> Column:
+    """Whether a row's keys are among ``hot``, rows or dicts with some or all of the keys."""
     out = F.lit(False)
     for r in hot:
         same = F.lit(True)
         for k in keys:
-            same = same & (F.col(k) == F.lit(r[k]))
+            if k in r:
+                same = same & (F.col(k) == F.lit(r[k]))
         out = out | same
     return F.coalesce(out, F.lit(False))
 
