@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .operators import intervals, orphans
-from .plans import search
+from .plans import lexical, search
 
-_MODULES = (orphans, intervals, search)
+_MODULES = (orphans, intervals, search, lexical)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
