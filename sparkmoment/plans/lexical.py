@@ -131,7 +131,7 @@ def colour_words(s, d):
 
 _SEG = """WITH sg AS (SELECT 'R' || record_id AS video_id, i - 1 AS seg_idx, segments[i].text AS text, segments[i].start AS start, segments[i]."end" AS e, segments[i].frame AS frame FROM asr_sidecar, range(1, 5000) r(i) WHERE i <= len(segments)),
 cx AS (SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS n FROM sg WINDOW w AS (PARTITION BY video_id ORDER BY seg_idx)),
-ct AS (SELECT *, array_to_string(list_filter([p, text, n], lambda t: t IS NOT NULL AND trim(t) <> ''), ' ') AS context FROM cx)
+ct AS (SELECT *, array_to_string(list_filter([p, text, n], lambda t: t IS NOT NULL AND regexp_matches(t, '[^\\s\\p{Z}]')), ' ') AS context FROM cx)
 """
 
 
