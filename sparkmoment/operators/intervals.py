@@ -23,11 +23,11 @@ def ranked_bounds(df: DataFrame, keys: Sequence[str], start: str, end: str) -> D
     """
     keys = list(keys)
     good = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) > F.col(start)))
-    bounds = good.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("is_end"), F.col(start).alias("x")), F.struct(F.lit(1).alias("is_end"), F.col(end).alias("x")))).alias("b"))
-    counted = bounds.groupBy(*keys, F.col("b.is_end").alias("is_end"), F.col("b.x").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = grouped_cumsum(counted, [*keys, "is_end"], "x", F.col("n"), "upto")
-    rank = F.when(F.col("is_end") == 1, F.col("upto")).otherwise(F.col("upto") - F.col("n"))
-    return ranked.groupBy(*keys, rank.alias("rank")).agg(F.max(F.when(F.col("is_end") == 0, F.col("x"))).alias("next_start"), F.max(F.when(F.col("is_end") == 1, F.col("x"))).alias("current_end"))
+    bounds = good.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("__is_end"), F.col(start).alias("__x")), F.struct(F.lit(1).alias("__is_end"), F.col(end).alias("__x")))).alias("__b"))
+    counted = bounds.groupBy(*keys, F.col("__b.__is_end").alias("__is_end"), F.col("__b.__x").alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = grouped_cumsum(counted, [*keys, "__is_end"], "__x", F.col("__n"), "__upto")
+    rank = F.when(F.col("__is_end") == 1, F.col("__upto")).otherwise(F.col("__upto") - F.col("__n"))
+    return ranked.groupBy(*keys, rank.alias("rank")).agg(F.max(F.when(F.col("__is_end") == 0, F.col("__x"))).alias("next_start"), F.max(F.when(F.col("__is_end") == 1, F.col("__x"))).alias("current_end"))
 
 
 def interval_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -40,13 +40,13 @@ def interval_periods(df: DataFrame, keys: Sequence[str], start: str, end: str) -
     """Continuous periods (keys..., period_start, period_end): the k-th opening bound paired with the k-th closing one."""
     keys = list(keys)
     r = ranked_bounds(df, keys, start, end)
-    bound = lambda is_end, x: F.struct(F.lit(is_end).alias("is_end"), F.col(x).alias("x"))
+    bound = lambda is_end, x: F.struct(F.lit(is_end).alias("__is_end"), F.col(x).alias("__x"))
     inner = r.filter(F.col("next_start") > F.col("current_end"))
     outer = r.groupBy(*keys).agg(F.min("next_start").alias("next_start"), F.max("current_end").alias("current_end"))
     edges = inner.select(*keys, "next_start", "current_end").unionByName(outer)
-    edges = edges.select(*keys, F.explode(F.array(bound(0, "next_start"), bound(1, "current_end"))).alias("b")).select(*keys, "b.is_end", "b.x")
-    numbered = grouped_cumsum(edges, [*keys, "is_end"], "x", F.lit(1).cast("bigint"), "k")
-    return numbered.groupBy(*keys, "k").agg(F.max(F.when(F.col("is_end") == 0, F.col("x"))).alias("period_start"), F.max(F.when(F.col("is_end") == 1, F.col("x"))).alias("period_end")).drop("k")
+    edges = edges.select(*keys, F.explode(F.array(bound(0, "next_start"), bound(1, "current_end"))).alias("__b")).select(*keys, "__b.__is_end", "__b.__x")
+    numbered = grouped_cumsum(edges, [*keys, "__is_end"], "__x", F.lit(1).cast("bigint"), "__k")
+    return numbered.groupBy(*keys, "__k").agg(F.max(F.when(F.col("__is_end") == 0, F.col("__x"))).alias("period_start"), F.max(F.when(F.col("__is_end") == 1, F.col("__x"))).alias("period_end")).drop("__k")
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
