@@ -12,6 +12,7 @@ known, all others that can compete are found before that projection, and only th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -33,12 +34,14 @@ def first_component(df: DataFrame, scores: Sequence[str]) -> np.ndarray:
     and a loading against its direction counts as 0. Without any usable variation all weigh the same.
     """
     n = len(scores)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    row = df.agg(*(F.corr(scores[i], scores[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    row = df.agg(*(F.covar_pop(scores[i], scores[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    cov = {(i, j): row[f"c{i}_{j}"] or 0.0 for i, j in pairs}
     m = np.eye(n)
     for i, j in pairs:
-        c = row[f"c{i}_{j}"]
-        m[i, j] = m[j, i] = 0.0 if c is None or not np.isfinite(c) else c
+        scale = math.sqrt(max(cov[i, i], 0.0) * max(cov[j, j], 0.0))
+        if i < j and scale > 1e-15:
+            m[i, j] = m[j, i] = cov[i, j] / scale
     v = np.linalg.eigh(m)[1][:, -1]
     v = np.maximum(v if v.sum() >= 0 else -v, 0)
     return v / v.sum() if v.sum() > 1e-12 else np.full(n, 1 / n)
