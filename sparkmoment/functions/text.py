@@ -38,8 +38,7 @@ def nfc(s: pd.Series) -> pd.Series:
 
 def tokens(c: Column) -> Column:
     """Lower-case words of letters, digits and _; accents are kept. Null gives an empty array."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+")
-    return F.filter(words, lambda w: w != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 TOKENS_SQL = "list_filter(string_split_regex(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')"

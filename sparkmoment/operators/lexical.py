@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import tokens
+from ..store import materialize
 
 #: Okapi parameters: term saturation, length normalisation, floor of negative idf as a share of the mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -27,26 +28,39 @@ def idf_table(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.greatest(F.col("mean") * EPSILON, F.lit(1e-9))).otherwise(F.col("idf")).alias("idf"))
 
 
-def doc_stats(docs: DataFrame, text: str) -> DataFrame:
-    """One row (n, avgdl)."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+def vocabulary(docs: DataFrame, text: str) -> DataFrame:
+    """(term, df), and in the row with a null term the number of documents (df) and of words (n_words).
+
+    One pass: each document sends its distinct words, counted before they move, and its length.
+    """
+    words = docs.select(tokens(F.col(text)).alias("words"))
+    own = F.struct(F.lit(None).cast("string").alias("term"), F.size("words").cast("bigint").alias("n"))
+    sent = F.concat(F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).cast("bigint").alias("n"))), F.array(own))
+    return words.select(F.explode(sent).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.n").alias("n_words"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:
     """The k documents with the highest BM25 score above 0 for the query's terms (repeated terms count again); ties by key.
 
-    Only the query's terms leave the token stage; the idf floor, which needs the whole vocabulary, is
-    a separate aggregate of one row.
+    The query's terms are counted where the text is read, so of a document only its counts move. What
+    the whole vocabulary is needed for, the floor of negative idf, comes as one row from a second pass.
     """
-    counts = term_counts(docs, key, text)
-    stats = doc_stats(docs, text)
-    idf = idf_table(counts, stats.select("n")).filter(F.col("term").isin(terms))
-    weight = docs.sparkSession.createDataFrame([(t, terms.count(t)) for t in sorted(set(terms))], "term string, times int")  # the query
-    q = idf.join(F.broadcast(weight), "term")
-    hits = counts.filter(F.col("term").isin(terms)).join(F.broadcast(q), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy(key).agg(F.sum(part).alias("score")).filter("score > 0")
-    return scores.orderBy(F.desc("score"), key).limit(k)
+    vocab = materialize(vocabulary(docs, text), "vocabulary")
+    whole = vocab.filter("term is null").select(F.col("df").alias("n"), (F.col("n_words") / F.nullif("df", F.lit(0))).alias("avgdl"))
+    raw = vocab.filter("term is not null").crossJoin(F.broadcast(whole)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    wanted = sorted(set(terms))
+    pick = [F.max(F.when(F.col("term") == t, F.col("idf"))).alias(f"i{j}") for j, t in enumerate(wanted)]
+    stats = raw.agg(F.avg("idf").alias("mean"), F.max("avgdl").alias("avgdl"), *pick)  # one row
+    floor = F.greatest(F.col("mean") * EPSILON, F.lit(1e-9))
+    counts = docs.select(F.col(key).alias("__key"), tokens(F.col(text)).alias("words"))
+    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
+    counts = counts.filter(F.arrays_overlap("words", F.array(*map(F.lit, wanted)))).select("__key", F.size("words").alias("dl"), *(tf(t).alias(f"t{j}") for j, t in enumerate(wanted)))
+    hits = counts.crossJoin(F.broadcast(stats))
+    score = F.lit(0.0)
+    for j, t in enumerate(wanted):
+        idf = F.when(F.col(f"i{j}") < 0, floor).otherwise(F.coalesce(f"i{j}", F.lit(0.0)))
+        score = score + terms.count(t) * idf * F.col(f"t{j}") * (K1 + 1) / (F.col(f"t{j}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.select(F.col("__key").alias(key), score.alias("score")).filter("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
