@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .operators import intervals, orphans
-from .plans import catalog, lexical, search
+from .plans import catalog, lexical, search, understanding
 
-_MODULES = (orphans, intervals, search, lexical, catalog)
+_MODULES = (orphans, intervals, search, lexical, catalog, understanding)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
