@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..store import materialize
 from ..tables import table
-from .canon import canon
+from .canon import canon, canonical_sql
 from .textarrays import blocks, code_points, mix
 
 RUN = 15
 SHINGLE = 5
 #: Items broadcast at once.
-MAX_ITEMS = 20_000
+MAX_ITEMS = 5_000
 
 
 class _WordClass:
@@ -277,5 +277,14 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(found, "doc_id").groupBy("item_id", "source").agg(F.count(F.lit(1)).alias("n_docs")).join(items, "item_id").select("item_id", "task", "source", "n_docs")
 
 
+_WORDS_SQL = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}\\p{{M}}]+')".format(canonical_sql("text", True))
+_LEAK_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS_SQL} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[k : k + {RUN - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {RUN - 2})) AS k FROM d WHERE len(w) >= {RUN})),
+ig AS (SELECT item_id, array_to_string(w[k : k + {RUN - 1}], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - {RUN - 2})) AS k FROM i WHERE len(w) >= {RUN})),
+f AS (SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g))
+"""
 QUERIES = {"p9_found": p9_found, "p9_report": p9_report}
-SQL: dict[str, str] = {}
+SQL = {
+    "p9_found": _LEAK_SQL + "SELECT item_id, doc_id FROM f",
+    "p9_report": _LEAK_SQL + "SELECT item_id, task, source, count(*) AS n_docs FROM f JOIN documents USING (doc_id) JOIN eval_items USING (item_id) GROUP BY ALL",
+}

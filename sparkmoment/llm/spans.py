@@ -250,5 +250,13 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.length("text").alias("n")).join(found, "doc_id", "left").select("doc_id", n.alias("shared_chars"), F.round(n / F.nullif("n", F.lit(0)), 6).alias("share"))
 
 
+_SHARED_SQL = f"""WITH g AS (SELECT doc_id, i, hash(substr(text, i, {SPAN})) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - {SPAN - 2})) AS i FROM documents WHERE length(text) >= {SPAN})),
+m AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS step FROM g WHERE h IN (SELECT h FROM m)),
+f AS (SELECT doc_id, CAST(sum(least({SPAN}, coalesce(step, {SPAN}))) AS BIGINT) AS shared_chars FROM p GROUP BY 1)
+"""
 QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares}
-SQL: dict[str, str] = {}
+SQL = {
+    "p10_found": _SHARED_SQL + "SELECT doc_id, shared_chars FROM f",
+    "p10_shares": _SHARED_SQL + "SELECT doc_id, coalesce(shared_chars, 0) AS shared_chars, round(coalesce(shared_chars, 0) / nullif(length(text), 0), 6) AS share FROM documents LEFT JOIN f USING (doc_id)",
+}
