@@ -95,7 +95,7 @@ def dedup_frames(frames: DataFrame, seconds: float = 0.5, cosine: float = 0.98,
     a video is split over tasks at its gaps. Frames with a null or non-finite vector are left out.
     """
     fine = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    sessions = islands(frames.filter(fine).select("video_id", "vector_id", "timestamp", "source", "vec"), ["video_id"], "timestamp", seconds, "vector_id")
+    sessions = islands(frames.filter(fine).select("video_id", "vector_id", "timestamp", "source", "vec"), ["video_id"], "timestamp", seconds)
     rows = sessions.withColumn("slot", F.xxhash64("video_id", "island")).repartition("slot").sortWithinPartitions("slot", "video_id", "timestamp", "vector_id")
 
     def run(parts):

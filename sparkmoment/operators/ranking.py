@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..skew import grouped_cumsum, grouped_previous, hot_keys
+
 EPSILON = 1e-9
 RRF_K = 60
 
@@ -92,23 +94,28 @@ def adaptive_rank_fusion(candidates: DataFrame, query: str = "query_id", animal:
     return candidates.withColumn("fused", F.coalesce(fused, F.col("score")))
 
 
-def islands(rows: DataFrame, keys: list[str], time: str, gap: float, tie: str) -> DataFrame:
-    """Rows with ``island``: number of the session they fall in; a session ends where the next row is more than ``gap`` later."""
-    w = W.partitionBy(*keys).orderBy(time, tie)
-    new = F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("int"), F.lit(0))
-    return rows.withColumn("__new", new).withColumn("island", F.sum("__new").over(w)).drop("__new")
+def islands(rows: DataFrame, keys: list[str], time: str, gap: float) -> DataFrame:
+    """Rows with ``island``: number of the session they fall in; a session ends where the next row is more than ``gap`` later.
+
+    Rows of one time fall in one session. A video with a large share of the rows is cut into parts in
+    time; null keys make a group of their own.
+    """
+    hot = hot_keys(rows, keys)
+    before = grouped_previous(rows, keys, time, "__before", hot)
+    flagged = before.withColumn("__new", F.coalesce((F.col(time) - F.col("__before") > gap).cast("int"), F.lit(0)))
+    return grouped_cumsum(flagged, keys, time, F.col("__new"), "island", hot, peers=True).drop("__new", "__before")
 
 
 def dedupe_temporal(candidates: DataFrame, gap: float = 1.5) -> DataFrame:
     """The best candidate of each session of a video; of equals the first in time."""
-    rows = islands(candidates, ["video_id"], "timestamp", gap, "vector_id")
+    rows = islands(candidates, ["video_id"], "timestamp", gap)
     w = W.partitionBy("video_id", "island").orderBy(F.desc("score"), "timestamp", "vector_id")
     return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "island")
 
 
 def moments(candidates: DataFrame, gap: float = 3.0, aggregation: str = "max", min_frames: int = 1) -> DataFrame:
     """(video_id, island, start, end, n, score, best): sessions of a video; score by max, mean or lse."""
-    rows = islands(candidates, ["video_id"], "timestamp", gap, "vector_id")
+    rows = islands(candidates, ["video_id"], "timestamp", gap)
     score = {"max": F.max("score"), "mean": F.avg("score"), "lse": F.max("peak") + F.log(F.sum(F.exp(F.col("score") - F.col("peak"))))}[aggregation]
     rows = rows.withColumn("peak", F.max("score").over(W.partitionBy("video_id", "island")))
     best = F.max_by("vector_id", F.struct("score", -F.col("timestamp"), -F.col("vector_id")))

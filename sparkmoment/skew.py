@@ -59,21 +59,27 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
 
 
-def grouped_cumsum(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, hot: list | None = None, fan: int = FAN) -> DataFrame:
+def _parted(df: DataFrame, keys: list[str], order: str, hot: list, fan: int) -> DataFrame:
+    """``df`` with ``__part``: hot groups cut at approximate quantiles of ``order``, others whole (0); ``__cuts`` is null for those."""
+    cuts = df.filter(is_hot(keys, hot)).groupBy(*keys).agg(F.percentile_approx(order, [i / fan for i in range(1, fan)], 1000).alias("__cuts"))
+    cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # at most HOT_SHARE rows
+    return df.join(F.broadcast(cuts), keys, "left").withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0)))
+
+
+def grouped_cumsum(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, hot: list | None = None, fan: int = FAN, peers: bool = False) -> DataFrame:
     """Running sum of ``value`` by ``order`` within ``keys`` (rows with equal ``order`` must be pre-aggregated or may take any order).
 
     Hot groups are cut at approximate quantiles of ``order``; each part is summed in its own task
-    and shifted by the total of the parts before it, so no group has to fit into one task.
+    and shifted by the total of the parts before it, so no group has to fit into one task. With
+    ``peers`` rows of equal ``order`` all get the sum that includes them all.
     """
     keys = list(keys)
     hot = hot_keys(df, keys) if hot is None else hot
-    running = lambda w: F.sum(value).over(w.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    frame = (lambda w: w.rangeBetween(W.unboundedPreceding, W.currentRow)) if peers else (lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    running = lambda w: F.sum(value).over(frame(w.orderBy(order)))
     if not hot:
         return df.withColumn(out, running(W.partitionBy(*keys)))
-    spark = df.sparkSession
-    cuts = df.filter(is_hot(keys, hot)).groupBy(*keys).agg(F.percentile_approx(order, [i / fan for i in range(1, fan)], 1000).alias("__cuts"))
-    cuts = spark.createDataFrame(cuts.collect(), cuts.schema)  # at most HOT_SHARE rows
-    parted = df.join(F.broadcast(cuts), keys, "left").withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0)))
+    parted = _parted(df, keys, order, hot, fan)
     totals = parted.filter(F.col("__cuts").isNotNull()).groupBy(*keys, "__part").agg(F.sum(value).alias("__total"))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     shift = totals.select(*keys, "__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__shift"))
@@ -82,3 +88,18 @@ def grouped_cumsum(df: DataFrame, keys: Sequence[str], order: str, value: Column
         .withColumn(out, running(W.partitionBy(*keys, "__part")) + F.coalesce("__shift", F.lit(0)))
         .drop("__cuts", "__part", "__shift")
     )
+
+
+def grouped_previous(df: DataFrame, keys: Sequence[str], order: str, out: str, hot: list | None = None, fan: int = FAN) -> DataFrame:
+    """``df`` with the value of ``order`` in the row before (null in a group's first row), hot groups worked on in parts."""
+    keys = list(keys)
+    hot = hot_keys(df, keys) if hot is None else hot
+    if not hot:
+        return df.withColumn(out, F.lag(order).over(W.partitionBy(*keys).orderBy(order)))
+    parted = _parted(df, keys, order, hot, fan)
+    ends = parted.filter(F.col("__cuts").isNotNull()).groupBy(*keys, "__part").agg(F.max(order).alias("__end"))
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(*keys, "__part", F.max("__end").over(before).alias("__last"))
+    own = F.lag(order).over(W.partitionBy(*keys, "__part").orderBy(order))
+    joined = parted.join(F.broadcast(ends), [*keys, "__part"], "left")  # at most HOT_SHARE * FAN rows
+    return joined.withColumn(out, F.coalesce(own, "__last")).drop("__cuts", "__part", "__last")

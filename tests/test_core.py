@@ -50,6 +50,19 @@ def test_grouped_cumsum_of_hot_group(spark, hot):
         assert g.upto == sum(n for k, x, n in data if k == g.k and x <= g.x)
 
 
+def test_islands_of_hot_group(spark, hot):
+    r = random.Random(4)
+    data = [("a" if r.random() < 0.7 else r.choice("bc"), i, float(r.randrange(0, 4000))) for i in range(500)]
+    got = R.islands(spark.createDataFrame(data, "video_id string, vector_id int, timestamp double"), ["video_id"], "timestamp", 10.0).collect()
+    last, no = {}, {}
+    want = {}
+    for v, i, t in sorted(data, key=lambda x: x[2]):
+        no[v] = no.get(v, 0) + (v in last and t - last[v] > 10.0)
+        last[v] = t
+        want[i] = no[v]
+    assert {x.vector_id: x.island for x in got} == want
+
+
 def _union(iv):
     out = []
     for s, e in sorted(iv):
