@@ -19,6 +19,11 @@ def queries_of(s: SparkSession, d: str, *ids: int) -> DataFrame:
     return table(s, d, "embeddings").filter(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
+def every_20th(s: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 as a query."""
+    return table(s, d, "embeddings").filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
 def candidates(s: SparkSession, d: str) -> DataFrame:
     """Events as scored candidates: user as video, seconds as time, type as label."""
     return table(s, d, "events").select(
@@ -292,6 +297,12 @@ def ann_cells(s, d):
     return V.knn(filed.join(F.broadcast(probe), "cell", "left_semi"), q, 20).select("vector_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def ann_every(s, d):
+    """Approximate search of all rows for every 20th, by an inverted file with fitted centres and measured recall."""
+    return V.ivf(frames(s, d), every_20th(s, d), 20).select("query_id", "vector_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(_FR + "SELECT video_id, vector_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, vector_id) AS r FROM rk WHERE rank <= 50) WHERE r = 1")
 def best_per_video(s, d):
     """Best hit of a video over all query variants."""
