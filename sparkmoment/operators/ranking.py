@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -12,10 +13,12 @@ EPSILON = 1e-9
 RRF_K = 60
 
 
-def diversify(candidates: DataFrame, cap: int, limit: int) -> DataFrame:
-    """At most ``cap`` candidates per video, then the ``limit`` best: (…, rank). Ties by vector_id."""
-    per = W.partitionBy("video_id").orderBy(F.desc("score"), "vector_id")
+def diversify(candidates: DataFrame, cap: int, limit: int, by: Sequence[str] = ()) -> DataFrame:
+    """At most ``cap`` candidates per video, then the ``limit`` best: (…, rank). Ties by vector_id. ``by`` names the keys of many searches at once."""
+    per = W.partitionBy(*by, "video_id").orderBy(F.desc("score"), "vector_id")
     kept = candidates.withColumn("in_video", F.row_number().over(per)).filter(F.col("in_video") <= cap)
+    if by:
+        return top_per_group(kept, list(by), limit)
     return kept.orderBy(F.desc("score"), "vector_id").limit(limit)
 
 
@@ -24,25 +27,33 @@ def top_per_group(candidates: DataFrame, keys: list[str], m: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= m)
 
 
-def video_rerank(candidates: DataFrame, top_videos: int, per_video: int, top_k: int = 3) -> DataFrame:
-    """Videos by log-sum-exp of their ``top_k`` best frames; of each the ``per_video`` best frames, scored video - rank * 1e-4."""
-    w = W.partitionBy("video_id").orderBy(F.desc("score"), "vector_id")
+def video_rerank(candidates: DataFrame, top_videos: int, per_video: int, top_k: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Videos by log-sum-exp of their ``top_k`` best frames; of each the ``per_video`` best frames, scored video - rank * 1e-4.
+
+    ``by`` names the keys of many searches at once.
+    """
+    keys = [*by, "video_id"]
+    w = W.partitionBy(*keys).orderBy(F.desc("score"), "vector_id")
     ranked = candidates.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(top_k, per_video))
-    peak = F.max("score").over(W.partitionBy("video_id"))
+    peak = F.max("score").over(W.partitionBy(*keys))
     ranked = ranked.withColumn("peak", peak)
-    videos = ranked.filter(F.col("r") <= top_k).groupBy("video_id").agg((F.max("peak") + F.log(F.sum(F.exp(F.col("score") - F.col("peak"))))).alias("video_score"))
-    best = videos.orderBy(F.desc("video_score"), "video_id").limit(top_videos)
-    return ranked.filter(F.col("r") <= per_video).join(F.broadcast(best), "video_id").select("video_id", "vector_id", "r", "video_score", (F.col("video_score") - (F.col("r") - 1) * F.lit(1e-4)).alias("score"))
+    videos = ranked.filter(F.col("r") <= top_k).groupBy(*keys).agg((F.max("peak") + F.log(F.sum(F.exp(F.col("score") - F.col("peak"))))).alias("video_score"))
+    if by:
+        first = W.partitionBy(*by).orderBy(F.desc("video_score"), "video_id")
+        best = videos.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= top_videos).drop("place")
+    else:
+        best = F.broadcast(videos.orderBy(F.desc("video_score"), "video_id").limit(top_videos))
+    return ranked.filter(F.col("r") <= per_video).join(best, keys).select(*by, "video_id", "vector_id", "r", "video_score", (F.col("video_score") - (F.col("r") - 1) * F.lit(1e-4)).alias("score"))
 
 
-def rrf(lists: DataFrame, k: int | None = RRF_K, longest: int | None = None) -> DataFrame:
-    """(id, score): weighted reciprocal rank fusion of rows (list, id, rank from 1, weight).
+def rrf(lists: DataFrame, k: int | None = RRF_K, longest: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, id, score): weighted reciprocal rank fusion of rows (list, id, rank from 1, weight).
 
     k None takes the adaptive constant 1 + 59 * longest / 2000, half-even rounded, within 1 and 60.
     """
     if k is None:
         k = min(60, max(1, round(1 + 59 * (longest or 0) / 2000)))
-    return lists.groupBy("id").agg(F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))).alias("score"))
+    return lists.groupBy(*by, "id").agg(F.sum(F.col("weight") / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
 def dynamic_k(longest: int) -> int:

@@ -210,6 +210,14 @@ def feedback_terms(s, d):
     return L.feedback_terms(docs(s, d).filter("doc_id in (1, 2, 3, 4, 5)"), "text", ["the", "a", "and", "of", "to", "in"])
 
 
+@query(_bm25_sql("documents", "doc_id", TERMS) + f""", h AS (SELECT key FROM sc WHERE score > 0 ORDER BY score DESC, key LIMIT 5), w AS (SELECT unnest({_TOK}) AS term FROM documents WHERE doc_id IN (SELECT key FROM h))
+SELECT term, count(*) AS n FROM w WHERE length(term) >= 2 AND term NOT IN ('the', 'a', 'and', 'of', 'to', 'in') GROUP BY 1 ORDER BY n DESC, term LIMIT 3""")
+def feedback_terms_hits(s, d):
+    """Words for a second search from the five best hits of ``bm25_search``'s terms."""
+    hits = L.bm25(docs(s, d), "doc_id", "text", TERMS, 5).select("doc_id")
+    return L.feedback_terms(docs(s, d).join(F.broadcast(hits), "doc_id", "left_semi"), "text", ["the", "a", "and", "of", "to", "in"])
+
+
 @query("""WITH m AS (SELECT match_id, query_id, {k} AS video_id, start, "end" AS e, left(segment_text, 50) AS t, bm25_score AS b, dense_score AS x FROM segment_matches),
 a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b DESC NULLS LAST, match_id) AS rank, 1 AS l FROM m), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC NULLS LAST, match_id) AS rank, 2 AS l FROM m WHERE x > 0),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM c)

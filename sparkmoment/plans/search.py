@@ -308,3 +308,119 @@ def best_per_video(s, d):
     """Best hit of a video over all query variants."""
     hits = V.knn(frames(s, d), queries_of(s, d, 0, 1, 2), 50)
     return R.best_per(hits, ["video_id"]).select("video_id", "vector_id", F.round("score", 6).alias("score"))
+
+
+# --- every row whose id is divisible by 20 as a search of all rows ---------------------------------
+# The variants (or events, or facets) of search q are the vectors q, q + 1 and q + 2.
+_EV = """WITH fr AS (SELECT vec_id AS vector_id, 'V' || lpad(CAST(label AS VARCHAR), 2, '0') AS video_id, CAST(embedding AS DOUBLE[]) AS v0 FROM embeddings),
+f AS (SELECT vector_id, video_id, list_transform(v0, lambda x: x / greatest(sqrt(list_dot_product(v0, v0)), 1e-12)) AS vec FROM fr),
+vr AS (SELECT vector_id - vector_id % 20 AS query_id, vector_id % 20 AS v, vec FROM f WHERE vector_id % 20 < 3),
+hit AS (SELECT query_id, v, f.vector_id, f.video_id, list_dot_product(f.vec, vr.vec) AS score FROM f, vr),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vector_id) AS rank FROM hit),
+t100 AS (SELECT * FROM rk WHERE v = 0 AND rank <= 100),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, vector_id) AS r FROM t100)
+"""
+
+
+def _score():
+    return F.round("score", 6).alias("score")
+
+
+def variants(s: SparkSession, d: str, n: int = 3) -> DataFrame:
+    """(query_id, search, v, qvec): the first n variants of every search."""
+    v = F.col("vec_id") % 20
+    return table(s, d, "embeddings").filter(v < n).select(F.col("vec_id").alias("query_id"), (F.col("vec_id") - v).alias("search"), v.alias("v"), F.col("embedding").alias("qvec"))
+
+
+def _variant_hits(s, d, n: int, k: int) -> DataFrame:
+    hits = V.knn(frames(s, d), variants(s, d, n), k)
+    v = F.col("query_id") % 20
+    return hits.select((F.col("query_id") - v).alias("query_id"), v.alias("v"), "vector_id", "video_id", "score", "rank")
+
+
+def _every(s, d, k: int = 100) -> DataFrame:
+    return V.knn(frames(s, d), every_20th(s, d), k)
+
+
+@query(_EV + "SELECT query_id, vector_id, video_id, round(score, 6) AS score, rank FROM t100")
+def knn_every(s, d):
+    return _every(s, d).select("query_id", "vector_id", "video_id", _score(), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(_EV + "SELECT query_id, vector_id, video_id, round(score, 6) AS score FROM hit WHERE v = 0 AND video_id IN ('V01', 'V03', 'V05') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) <= 50")
+def knn_videos_every(s, d):
+    some = frames(s, d).filter(F.col("video_id").isin("V01", "V03", "V05"))
+    return V.knn(some, every_20th(s, d), 50).select("query_id", "vector_id", "video_id", _score())
+
+
+@query(_EV + "SELECT query_id, vector_id, round(score, 6) AS score FROM hit WHERE v = 0 AND vector_id IN (SELECT vector_id FROM frames WHERE ocr_done) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) <= 50")
+def knn_rows_every(s, d):
+    """Search within the rows that another table allows: frames whose text was read."""
+    rows = table(s, d, "frames").filter("ocr_done").select("vector_id")
+    return V.knn(frames(s, d).join(rows, "vector_id", "left_semi"), every_20th(s, d), 50).select("query_id", "vector_id", _score())
+
+
+@query(_EV + "SELECT query_id, vector_id, video_id, round(score, 6) AS score FROM d WHERE r <= 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) <= 20")
+def diversify_every(s, d):
+    return R.diversify(_every(s, d), 3, 20, ["query_id"]).select("query_id", "vector_id", "video_id", _score())
+
+
+@query(_EV + "SELECT query_id, video_id, vector_id, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, vector_id) AS r, round(score, 6) AS score FROM hit WHERE v = 0 QUALIFY r <= 5")
+def per_video_every(s, d):
+    hits = V.scored(frames(s, d), every_20th(s, d)).select("query_id", "video_id", "vector_id", "score")
+    return R.top_per_group(hits, ["query_id", "video_id"], 5).select("query_id", "video_id", "vector_id", F.col("rank").cast("bigint").alias("r"), _score())
+
+
+@query(_EV + """, m AS (SELECT *, max(score) OVER (PARTITION BY query_id, video_id) AS m FROM d WHERE r <= 3), l AS (SELECT query_id, video_id, max(score) + ln(sum(exp(score - m))) AS vs FROM m GROUP BY 1, 2),
+b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vs DESC, video_id) <= 5)
+SELECT query_id, video_id, vector_id, r, round(vs, 6) AS video_score, round(vs - (r - 1) * 1e-4, 6) AS score FROM d JOIN b USING (query_id, video_id) WHERE r <= 4""")
+def video_rerank_every(s, d):
+    out = R.video_rerank(_every(s, d), 5, 4, 3, ["query_id"])
+    return out.select("query_id", "video_id", "vector_id", F.col("r").cast("bigint").alias("r"), F.round("video_score", 6).alias("video_score"), _score())
+
+
+@query(_EV + "SELECT query_id, vector_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM rk WHERE v < 2 AND rank <= 100 GROUP BY 1, 2")
+def rrf_two_every(s, d):
+    lists = _variant_hits(s, d, 2, 100).withColumnRenamed("vector_id", "id").withColumn("weight", F.lit(1.0))
+    return R.rrf(lists, by=["query_id"]).select("query_id", F.col("id").alias("vector_id"), F.round("score", 9).alias("score"))
+
+
+@query(_EV + "SELECT query_id, vector_id, round(sum(CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.65 END / (4 + rank)), 9) AS score FROM rk WHERE rank <= 100 GROUP BY 1, 2")
+def rrf_variants_every(s, d):
+    weight = F.when(F.col("v") == 0, 1.0).when(F.col("v") == 1, 0.8).otherwise(0.65)
+    lists = _variant_hits(s, d, 3, 100).withColumnRenamed("vector_id", "id").withColumn("weight", weight)
+    return R.rrf(lists, None, 100, ["query_id"]).select("query_id", F.col("id").alias("vector_id"), F.round("score", 9).alias("score"))
+
+
+@query(_EV + "SELECT query_id, video_id, vector_id, round(score, 9) AS score FROM rk WHERE rank <= 50 QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY round(score, 9) DESC, vector_id) = 1")
+def best_per_video_every(s, d):
+    hits = _variant_hits(s, d, 3, 50).withColumn("score", F.round("score", 9))  # a vector's likeness to itself differs in the last bit
+    return R.best_per(hits, ["query_id", "video_id"]).select("query_id", "video_id", "vector_id", "score")
+
+
+def _pool(s, d) -> DataFrame:
+    """The best 100 of every search, each beside its similarity ``score`` to every variant ``v``."""
+    top = _every(s, d).select(F.col("query_id").alias("search"), "vector_id", F.col("score").alias("first"))
+    pool = frames(s, d).select("vector_id", "vec").join(top, "vector_id").join(variants(s, d).drop("query_id"), "search")
+    return pool.select(F.col("search").alias("query_id"), "vector_id", "first", "v", cosine(F.col("vec"), F.col("qvec")).alias("score"))
+
+
+@query(_EV + """, c AS (SELECT query_id, vector_id, sum(score * w) / sum(w) AS cov FROM (SELECT *, CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 2.0 END AS w FROM hit) GROUP BY 1, 2),
+b AS (SELECT query_id, vector_id, score, cov FROM t100 JOIN c USING (query_id, vector_id)),
+x AS (SELECT *, min(score) OVER w AS s0, max(score) OVER w AS s1, min(cov) OVER w AS c0, max(cov) OVER w AS c1 FROM b WINDOW w AS (PARTITION BY query_id)),
+n AS (SELECT query_id, vector_id, CASE WHEN s1 - s0 < 1e-9 THEN 0.5 ELSE (score - s0) / (s1 - s0) END AS ns, CASE WHEN c1 - c0 < 1e-9 THEN 0.5 ELSE (cov - c0) / (c1 - c0) END AS nc FROM x)
+SELECT query_id, vector_id, round(nc, 6) AS coverage, round(0.5 * ns + 0.5 * nc, 6) AS score FROM n""")
+def event_blend_every(s, d):
+    weights = F.when(F.col("v") == 0, 1.0).when(F.col("v") == 1, 0.5).otherwise(2.0)
+    cov = _pool(s, d).groupBy("query_id", "vector_id", "first").agg((F.sum(F.col("score") * weights) / F.sum(weights)).alias("cov"))
+    one = W.partitionBy("query_id")
+    n = cov.select("query_id", "vector_id", R.minmax(F.col("first"), one, 0.5).alias("ns"), R.minmax(F.col("cov"), one, 0.5).alias("nc"))
+    return n.select("query_id", "vector_id", F.round("nc", 6).alias("coverage"), F.round(0.5 * F.col("ns") + 0.5 * F.col("nc"), 6).alias("score"))
+
+
+@query(_EV + """, m AS (SELECT query_id, vector_id, max(score * CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 1.2 ELSE 1.4 END) AS ms FROM hit GROUP BY 1, 2)
+SELECT query_id, vector_id, round(score + 0.4 * ms, 6) AS score FROM t100 JOIN m USING (query_id, vector_id)""")
+def maxsim_every(s, d):
+    weights = F.when(F.col("v") == 0, 1.0).when(F.col("v") == 1, 1.2).otherwise(1.4)
+    best = _pool(s, d).groupBy("query_id", "vector_id", "first").agg(F.max(F.col("score") * weights).alias("ms"))
+    return best.select("query_id", "vector_id", F.round(F.col("first") + 0.4 * F.col("ms"), 6).alias("score"))

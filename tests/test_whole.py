@@ -1,5 +1,8 @@
 """Queries take every row: what a cut of ids, rows or dimensions would lose."""
 
+import pytest
+
+from compare import compare
 from sparkmoment import registry
 from sparkmoment.operators import vector as V
 from sparkmoment.plans import search
@@ -13,3 +16,19 @@ def test_ann_recall_over_every_20th(spark):
     got = {(r.query_id, r.vector_id) for r in registry.QUERIES["ann_every"](spark, SF).collect()}
     assert {q for q, _ in got} == {r.query_id for r in search.every_20th(spark, SF).collect()}
     assert len(got & true) / len(true) >= 0.9
+
+
+EVERY = ["knn_every", "knn_videos_every", "knn_rows_every", "diversify_every", "per_video_every", "video_rerank_every", "rrf_two_every", "rrf_variants_every", "best_per_video_every", "event_blend_every", "maxsim_every"]
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_searches_run_for_every_20th(spark, name):
+    got = {r.query_id for r in registry.QUERIES[name](spark, SF).select("query_id").distinct().collect()}
+    assert got == set(range(0, 500, 20))
+    ok, said = compare(spark, SF, name)
+    assert ok, said
+
+
+def test_feedback_terms_come_from_hits(spark):
+    ok, said = compare(spark, SF, "feedback_terms_hits")
+    assert ok, said
