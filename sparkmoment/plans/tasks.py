@@ -130,7 +130,7 @@ def task_qa(s, d):
 
 
 def task_trake(s, d):
-    return trake(_frames(s, d), _events(s, d), 3, 20, 10, preferred=["L"]).select("video_id", F.round("score", 6).alias("score"), F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"))
+    return trake(_frames(s, d), _events(s, d), 3, preferred=["L"]).select("video_id", F.round("score", 6).alias("score"), F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"))
 
 
 def task_notebook(s, d):

@@ -5,9 +5,9 @@ import pytest
 from compare import compare
 from sparkmoment import registry
 from sparkmoment.operators import vector as V
-from sparkmoment.plans import search
+from sparkmoment.plans import search, tasks
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def test_ann_recall_over_every_20th(spark):
@@ -32,3 +32,10 @@ def test_searches_run_for_every_20th(spark, name):
 def test_feedback_terms_come_from_hits(spark):
     ok, said = compare(spark, SF, "feedback_terms_hits")
     assert ok, said
+
+
+def test_task_trake_aligns_all_videos_within_its_defaults(spark):
+    n = {r.video_id: r["count"] for r in tasks._frames(spark, LARGER).groupBy("video_id").count().collect()}
+    long = {v for v, k in n.items() if k >= 3}  # three events in increasing order take three frames
+    assert 10 < len(long) <= tasks.ANSWERS
+    assert {r.video_id for r in registry.QUERIES["task_trake"](spark, LARGER).collect()} == long
