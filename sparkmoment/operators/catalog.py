@@ -85,8 +85,8 @@ def frames_in_window(frames: DataFrame, video: str, centre: float, reach: float)
     return frames.filter((F.col("video_id") == video) & F.col("timestamp").between(centre - reach, centre + reach)).withColumn("away", near).orderBy("away", "vector_id")
 
 
-def dedup_frames(frames: DataFrame, seconds: float = 0.5, cosine: float = 0.98, curated: str = "btc", protect: bool = True) -> DataFrame:
-    """Frames without near-duplicates, per video in time order.
+def dedup_frames(frames: DataFrame, seconds: float = 0.5, cosine: float = 0.98, curated: str = "btc", protect: bool = True, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """Frames without near-duplicates, per video (``keys``, of strings) in time order.
 
     A frame is dropped if a kept one at most ``seconds`` earlier is at least ``cosine`` similar, and
     (that one is curated while curated frames are protected, or the frame itself isn't curated). Each
@@ -95,15 +95,15 @@ def dedup_frames(frames: DataFrame, seconds: float = 0.5, cosine: float = 0.98,
     a video is split over tasks at its gaps. Frames with a null or non-finite vector are left out.
     """
     fine = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    sessions = islands(frames.filter(fine).select("video_id", "vector_id", "timestamp", "source", "vec"), ["video_id"], "timestamp", seconds)
-    rows = sessions.withColumn("slot", F.xxhash64("video_id", "island")).repartition("slot").sortWithinPartitions("slot", "video_id", "timestamp", "vector_id")
+    sessions = islands(frames.filter(fine).select(*keys, "vector_id", "timestamp", "source", "vec"), [*keys], "timestamp", seconds)
+    rows = sessions.withColumn("slot", F.xxhash64(*keys, "island")).repartition("slot").sortWithinPartitions("slot", *keys, "timestamp", "vector_id")
 
     def run(parts):
         kept: list = []
         now = None
         for pdf in parts:
             out = []
-            for v, i, slot, t, src, x in zip(pdf.video_id, pdf.vector_id, pdf.slot, pdf.timestamp, pdf.source, pdf.vec, strict=True):
+            for *v, i, slot, t, src, x in zip(*(pdf[k] for k in keys), pdf.vector_id, pdf.slot, pdf.timestamp, pdf.source, pdf.vec, strict=True):
                 if (slot, v) != now:
                     kept, now = [], (slot, v)
                 x = np.asarray(x, float)
@@ -112,10 +112,10 @@ def dedup_frames(frames: DataFrame, seconds: float = 0.5, cosine: float = 0.98,
                 own = src == curated
                 if not any(float(k[1] @ x) >= cosine and ((k[2] and protect) or not own) for k in kept):
                     kept.append((t, x, own))
-                    out.append((v, i))
-            yield pd.DataFrame(out, columns=["video_id", "vector_id"])
+                    out.append((*v, i))
+            yield pd.DataFrame(out, columns=[*keys, "vector_id"])
 
-    return rows.mapInPandas(run, f"video_id string, vector_id {frames.schema['vector_id'].dataType.simpleString()}")
+    return rows.mapInPandas(run, f"{', '.join(f'{k} string' for k in keys)}, vector_id {frames.schema['vector_id'].dataType.simpleString()}")
 
 
 def sample_count(duration: Column) -> Column:

@@ -231,10 +231,11 @@ def frames_in_window(s, d):
 
 @query()
 def frame_dedup(s, d):
-    """Near-duplicate frames of ``manifest_siglip2`` dropped per video in time order."""
-    v = table(s, d, "manifest_siglip2").select("vector_id", "vec", F.size("vec").alias("n")).filter("n = 64").filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)))
+    """Near-duplicate frames of ``manifest_siglip2`` dropped per version and video in time order; vectors have their version's size."""
+    dim = table(s, d, "siglip2_meta").select("embedding_version", "embedding_dim")  # a row per version
+    v = table(s, d, "manifest_siglip2").select("vector_id", "embedding_version", "vec").join(F.broadcast(dim), "embedding_version").filter(F.size("vec") == F.col("embedding_dim"))
     f = table(s, d, "frames").select("vector_id", video_key("video_id").alias("video_id"), "timestamp", F.coalesce("source", F.lit("")).alias("source")).filter("timestamp is not null and not isnan(timestamp)")
-    return C.dedup_frames(f.join(v.drop("n"), "vector_id"))
+    return C.dedup_frames(f.join(v.drop("embedding_dim"), "vector_id"), keys=["embedding_version", "video_id"]).select("video_id", "vector_id")
 
 
 @query("""WITH s AS (SELECT shot_id, start_s AS a, end_s AS b FROM shots WHERE isfinite(start_s) AND isfinite(end_s)),

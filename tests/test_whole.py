@@ -1,11 +1,14 @@
 """Queries take every row: what a cut of ids, rows or dimensions would lose."""
 
+import numpy as np
 import pytest
 
 from compare import compare
 from sparkmoment import registry
+from sparkmoment.functions.keys import video_key
 from sparkmoment.operators import vector as V
 from sparkmoment.plans import search, tasks
+from sparkmoment.tables import table
 
 SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -39,3 +42,19 @@ def test_task_trake_aligns_all_videos_within_its_defaults(spark):
     long = {v for v, k in n.items() if k >= 3}  # three events in increasing order take three frames
     assert 10 < len(long) <= tasks.ANSWERS
     assert {r.video_id for r in registry.QUERIES["task_trake"](spark, LARGER).collect()} == long
+
+
+def test_frame_dedup_takes_each_version_at_its_own_dimension(spark):
+    m, dims = table(spark, SF, "manifest_siglip2"), {r.embedding_version: r.embedding_dim for r in table(spark, SF, "siglip2_meta").collect()}
+    f = table(spark, SF, "frames").select("vector_id", video_key("video_id").alias("v"), "timestamp", "source")
+    rows = [r for r in f.join(m.select("vector_id", "embedding_version", "vec"), "vector_id").collect() if r.vec is not None and len(r.vec) == dims[r.embedding_version]]
+    rows = [r for r in rows if None not in r.vec and np.isfinite(r.vec).all() and r.timestamp is not None and not np.isnan(r.timestamp)]
+    kept, want = {}, set()
+    for r in sorted(rows, key=lambda r: (r.timestamp, r.vector_id)):
+        x = np.array(r.vec, float) / max(np.linalg.norm(r.vec), 1e-12)
+        before = kept.setdefault((r.embedding_version, r.v), [])
+        if not any(r.timestamp - t <= 0.5 and y @ x >= 0.98 and (own or r.source != "btc") for t, y, own in before):
+            before.append((r.timestamp, x, r.source == "btc"))
+            want.add(r.vector_id)
+    assert {r.vector_id for r in registry.QUERIES["frame_dedup"](spark, SF).collect()} == want
+    assert {r.embedding_version for r in rows if r.vector_id in want} == set(dims)
