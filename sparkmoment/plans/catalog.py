@@ -146,6 +146,24 @@ def catalog_upsert(s, d):
     return C.upsert(old, new, ["vector_id"], ["source"], ["ocr_done"])
 
 
+_BATCH = f"""WITH c AS (SELECT (min(epoch_us(ingested_at)) + max(epoch_us(ingested_at))) // 2 AS cut FROM frames),
+f AS (SELECT {_K} AS video_id, frame_id, vector_id, source, ocr_done, coalesce(epoch_us(ingested_at) > cut, false) AS late, ingested_at FROM frames, c),
+l AS (SELECT *, row_number() OVER (PARTITION BY late, video_id, frame_id ORDER BY ingested_at DESC NULLS LAST, vector_id) AS r FROM f), a AS (SELECT * FROM l WHERE r = 1 AND NOT late), b AS (SELECT * FROM l WHERE r = 1 AND late)
+"""
+
+
+@query(_BATCH + "SELECT coalesce(b.video_id, a.video_id) AS video_id, coalesce(b.frame_id, a.frame_id) AS frame_id, coalesce(b.vector_id, a.vector_id) AS vector_id, coalesce(b.source, a.source) AS source, coalesce(a.ocr_done, b.ocr_done) AS ocr_done FROM a FULL JOIN b ON a.video_id = b.video_id AND a.frame_id = b.frame_id")
+def catalog_upsert_batches(s, d):
+    """The later half of the deliveries over the earlier: every frame is in one of the two, a frame of both is merged."""
+    f = table(s, d, "frames").select(video_key("video_id").alias("video_id"), "frame_id", "vector_id", "source", "ocr_done", "ingested_at")
+    at = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    cut = f.select(at.alias("us")).agg(F.expr("(min(us) + max(us)) div 2").alias("cut"))
+    f = f.crossJoin(F.broadcast(cut)).withColumn("late", F.coalesce(at > F.col("cut"), F.lit(False)))
+    keys = ["video_id", "frame_id"]
+    batch = lambda rows: C.latest(rows, keys, [F.desc_nulls_last("ingested_at"), F.asc("vector_id")]).select(*keys, "vector_id", "source", "ocr_done")
+    return C.upsert(batch(f.filter("not late")), batch(f.filter("late")), keys, ["vector_id", "source"], ["ocr_done"])
+
+
 @query(f"""SELECT video_id, frame_id, vector_id FROM (SELECT {_K} AS video_id, frame_id, vector_id, row_number() OVER (PARTITION BY {_K}, frame_id ORDER BY CASE WHEN source = 'btc' THEN 0 ELSE 1 END, ingested_at DESC NULLS LAST, vector_id) AS r FROM frames) WHERE r = 1""")
 def latest_frames(s, d):
     """One row per video and frame: the curated source wins, then the latest delivery."""

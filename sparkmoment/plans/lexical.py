@@ -175,6 +175,40 @@ def speech_interval_score(s, d):
 
 
 _K = VIDEO_KEY_SQL.format("video_id")
+_FRM = f"""WITH sg AS (SELECT {_K} AS video_id, u.text AS text, u.start AS start, u."end" AS e, u.frame AS frame FROM (SELECT video_id, unnest(segments) AS u FROM asr_sidecar)),
+fo AS (SELECT *, {FOLD_SQL.format("coalesce(text, '')")} AS folded FROM sg), sh AS (SELECT *, {_SHARE} AS share FROM fo), v AS (SELECT {_K} AS k, fps FROM videos),
+cand AS (SELECT vector_id, k2 AS video_id, CASE WHEN frame_unit = 'ms' THEN CASE WHEN fps > 0 THEN CAST(round_even(greatest(frame_id / 1000.0, 0) * fps, 0) AS BIGINT) END ELSE frame_id END AS frame_id,
+CASE WHEN frame_unit = 'ms' THEN frame_id / 1000.0 ELSE coalesce("timestamp", CASE WHEN fps > 0 THEN frame_id / fps END) END AS t FROM (SELECT *, {_K} AS k2 FROM frames) LEFT JOIN v ON k = k2)
+"""
+
+
+def _frames_said(s, d):
+    """Every frame with its number and time, and every segment, by video."""
+    v = table(s, d, "videos").select(video_key("video_id").alias("video_id"), "fps")
+    f = table(s, d, "frames").select("vector_id", video_key("video_id").alias("video_id"), "frame_id", "frame_unit", "timestamp").join(v, "video_id", "left")
+    ms, known = F.coalesce(F.col("frame_unit") == "ms", F.lit(False)), F.when(F.col("fps") > 0, F.col("fps"))
+    number = F.when(ms, F.bround(F.greatest(F.col("frame_id") / 1000.0, F.lit(0.0)) * known).cast("bigint")).otherwise(F.col("frame_id"))
+    time = F.when(ms, F.col("frame_id") / 1000.0).otherwise(F.coalesce("timestamp", F.col("frame_id") / known))
+    c = f.select("video_id", "vector_id", number.alias("frame_id"), time.alias("timestamp"))
+    x = table(s, d, "asr_sidecar").select(video_key("video_id").alias("video_id"), F.explode("segments").alias("g")).select("video_id", F.col("g.start").alias("start"), F.col("g.end").alias("end"), F.col("g.frame").alias("frame"), fold(F.coalesce("g.text", F.lit(""))).alias("folded"))
+    return c, x
+
+
+@query(_FRM + "SELECT vector_id, round(max(share * greatest(0.3, 1 - abs(frame_id - frame) / 150.0)), 6) AS score FROM cand c JOIN sh ON sh.video_id = c.video_id AND abs(frame_id - frame) <= 150 AND share > 0 GROUP BY 1")
+def speech_term_frames(s, d):
+    """Every frame by what is said near it."""
+    return L.near_segment_scores(*_frames_said(s, d), _WORDS).select("vector_id", F.round("score", 6).alias("score"))
+
+
+@query(_FRM + """SELECT vector_id, round(max(share * greatest(0.1, exp(-0.01 * abs(t - (start + e) / 2))) * CASE WHEN t >= start - 2 AND t <= e + 2 THEN 1.0 ELSE 0.3 END), 6) AS score
+FROM cand c JOIN sh ON sh.video_id = c.video_id AND share > 0 WHERE isfinite(t) AND isfinite(start) AND isfinite(e) GROUP BY 1""")
+def speech_interval_frames(s, d):
+    """Every frame with a time by what is said around it in its video."""
+    c, x = _frames_said(s, d)
+    ok = lambda k: F.col(k).isNotNull() & (F.abs(F.col(k)) < float("inf"))
+    return L.interval_scores(c.filter(ok("timestamp")), x.filter(ok("start") & ok("end")), _WORDS).select("vector_id", F.round("score", 6).alias("score"))
+
+
 _EV = f"""WITH m AS (SELECT match_id, query_id, {_K} AS video_id, start, bm25_score, dense_score FROM segment_matches WHERE start IS NOT NULL),
 g AS (SELECT *, lead(start) OVER (PARTITION BY query_id, video_id ORDER BY start, match_id) - start AS gap FROM m),
 ev AS (SELECT query_id, video_id, count(*) AS n, avg(bm25_score) AS bm25, coalesce(avg(CASE WHEN dense_score > 0 THEN dense_score END), 0) AS dense, coalesce(exp(-pow(avg(gap), 2) / 1800.0), 1.0) AS gap FROM g GROUP BY 1, 2)

@@ -58,3 +58,16 @@ def test_frame_dedup_takes_each_version_at_its_own_dimension(spark):
             want.add(r.vector_id)
     assert {r.vector_id for r in registry.QUERIES["frame_dedup"](spark, SF).collect()} == want
     assert {r.embedding_version for r in rows if r.vector_id in want} == set(dims)
+
+
+@pytest.mark.parametrize("name", ["speech_term_frames", "speech_interval_frames", "catalog_upsert_batches"])
+def test_every_frame_takes_part(spark, name):
+    ok, said = compare(spark, SF, name)
+    assert ok, said
+    got = registry.QUERIES[name](spark, SF).select("vector_id").collect()
+    f = table(spark, SF, "frames").select("vector_id", video_key("video_id").alias("v"), "frame_id")
+    if name == "catalog_upsert_batches":
+        assert len(got) == f.select("v", "frame_id").distinct().count()
+    else:
+        scored = f.join(spark.createDataFrame(got), "vector_id")
+        assert len(got) > 0 and {r.m for r in scored.select((scored.vector_id % 6).alias("m")).distinct().collect()} == set(range(6))
