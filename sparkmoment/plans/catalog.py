@@ -299,12 +299,12 @@ r AS (SELECT query_id, rank, CASE WHEN coalesce(video_id = gv AND (gt_frame_id I
 """
 
 
-def _judged(s, d):
-    """Matches ranked per query beside the dev set's truth, with a wide tolerance."""
+def _judged(s, d, tolerance: int = 50_000):
+    """Matches ranked per query beside the dev set's truth, by default with a wide tolerance."""
     w = W.partitionBy("query_id").orderBy(F.desc_nulls_last("bm25_score"), "match_id")
     m = table(s, d, "segment_matches").select("query_id", video_key("video_id").alias("video_id"), "frame", F.row_number().over(w).alias("rank")).filter("rank <= 100")
     g = table(s, d, "kis_dev").select(F.col("kis_id").alias("query_id"), video_key("gt_video_id").alias("gv"), "gt_frame_id")
-    hit = E.is_hit(F.col("video_id"), F.col("frame"), F.col("gv"), F.col("gt_frame_id"), 50_000)
+    hit = E.is_hit(F.col("video_id"), F.col("frame"), F.col("gv"), F.col("gt_frame_id"), tolerance)
     return m.join(g, "query_id").select("query_id", "rank", F.when(hit, 1.0).otherwise(0.0).alias("relevance"))
 
 
@@ -318,6 +318,22 @@ def eval_ap(s, d):
     return E.average_precision(_judged(s, d), "query_id").select("query_id", F.round("ap", 6).alias("ap"))
 
 
+_RK50 = _RK.replace("<= 50000", "<= 50")
+_AT = {k: f"max(CASE WHEN rank <= {k} THEN relevance ELSE 0 END)" for k in E.CUTOFFS}
+
+
+@query(_RK50 + "SELECT query_id, " + ", ".join(f"{x} AS r{k}" for k, x in _AT.items()) + f", round(({' + '.join(_AT.values())}) / 5, 6) AS final FROM r GROUP BY 1")
+def eval_recall_frames(s, d):
+    """``eval_recall_final`` with a hit within 50 frames of the truth."""
+    return E.recalls(_judged(s, d, 50), "query_id").withColumn("final", F.round("final", 6))
+
+
+@query(_RK50 + ", p AS (SELECT *, sum(relevance) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / rank AS p FROM r) SELECT query_id, round(coalesce(sum(relevance * p) / nullif(sum(relevance), 0), 0), 6) AS ap FROM p GROUP BY 1")
+def eval_ap_frames(s, d):
+    """``eval_ap`` with a hit within 50 frames of the truth."""
+    return E.average_precision(_judged(s, d, 50), "query_id").select("query_id", F.round("ap", 6).alias("ap"))
+
+
 @query(_CA + """, o AS (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY score) AS r, count(*) OVER (PARTITION BY label) AS n FROM c)
 SELECT label, max(n) AS n, round(quantile_cont(score, 0.5), 6) AS p50, round(max(CASE WHEN r = floor(0.95 * (n + 1)) THEN score END) + max(0.95 * (n + 1) - floor(0.95 * (n + 1))) * (max(CASE WHEN r = floor(0.95 * (n + 1)) + 1 THEN score END) - max(CASE WHEN r = floor(0.95 * (n + 1)) THEN score END)), 6) AS p95 FROM o GROUP BY 1""")
 def eval_latency_quantiles(s, d):

@@ -71,3 +71,12 @@ def test_every_frame_takes_part(spark, name):
     else:
         scored = f.join(spark.createDataFrame(got), "vector_id")
         assert len(got) > 0 and {r.m for r in scored.select((scored.vector_id % 6).alias("m")).distinct().collect()} == set(range(6))
+
+
+def test_a_hit_is_within_50_frames(spark):
+    far = registry.QUERIES["eval_recall_final"](spark, LARGER).agg({"r100": "sum"}).first()[0]
+    near = registry.QUERIES["eval_recall_frames"](spark, LARGER).agg({"r100": "sum"}).first()[0]
+    assert near < far
+    for name in ("eval_recall_frames", "eval_ap_frames"):
+        ok, said = compare(spark, LARGER, name)
+        assert ok, said
