@@ -76,6 +76,24 @@ def event_coverage(s, d):
     return S.event_coverage(m, e).select("query_id", "video_id", "matched", F.round("coverage", 6).alias("coverage"), F.round("weighted", 6).alias("weighted"))
 
 
+_EVW = f"""WITH e AS (SELECT query_id, event_index, importance, regexp_extract_all({FOLD_SQL.format("concat_ws(' ', vi_text, en_text)")}, '[a-z]{{4,}}') AS ws FROM notebook_events),
+ew AS (SELECT query_id, event_index, importance, unnest(ws) AS word FROM e), m AS (SELECT query_id, {_K} AS video_id, concat_ws(chr(10), {FOLD_SQL.format('segment_text')}, {FOLD_SQL.format('matched_query')}) AS folded FROM segment_matches),
+t AS (SELECT query_id, count(*) AS total, sum(importance) AS weight FROM (SELECT DISTINCT query_id, event_index, importance FROM e) GROUP BY 1),
+h AS (SELECT DISTINCT m.query_id, video_id, event_index, importance FROM m JOIN ew ON ew.query_id = m.query_id AND contains(folded, word)),
+g AS (SELECT query_id, video_id, count(*) AS matched, sum(importance) AS w FROM h GROUP BY 1, 2)
+SELECT query_id, video_id, matched, round(matched / total, 6) AS coverage, round(coalesce(w / nullif(weight, 0), 0), 6) AS weighted FROM g JOIN t USING (query_id)"""
+
+
+@query(_EVW)
+def event_coverage_words(s, d):
+    """Planned events with any of their words of four letters in the text or the query of a match; events without such a word count as not found."""
+    words = F.regexp_extract_all(fold(F.concat_ws(" ", "vi_text", "en_text")), F.lit("([a-z]{4,})"), 1)
+    e = table(s, d, "notebook_events").select("query_id", "event_index", F.explode_outer(F.array_distinct(words)).alias("word"), "importance")
+    text = F.concat_ws("\n", fold(F.col("segment_text")), fold(F.col("matched_query")))
+    m = table(s, d, "segment_matches").select("query_id", video_key("video_id").alias("video_id"), text.alias("folded"))
+    return S.event_coverage(m, e).select("query_id", "video_id", "matched", F.round("coverage", 6).alias("coverage"), F.round("weighted", 6).alias("weighted"))
+
+
 @query(f"""WITH m AS (SELECT match_id, query_id, {_K} AS video_id, start AS a, bm25_score AS b FROM segment_matches WHERE start IS NOT NULL AND bm25_score IS NOT NULL AND video_id IS NOT NULL),
 n AS (SELECT query_id, video_id, count(*) AS n FROM m GROUP BY 1, 2), x AS (SELECT p.query_id, p.video_id, count(*) AS bad FROM m p JOIN m q ON p.query_id = q.query_id AND p.video_id = q.video_id AND p.a < q.a AND p.b > q.b GROUP BY 1, 2)
 SELECT query_id, video_id, round(CASE WHEN n < 2 THEN 1.0 ELSE 1 - coalesce(bad, 0) / (n * (n - 1) / 2) END, 6) AS tau FROM n LEFT JOIN x USING (query_id, video_id)""")

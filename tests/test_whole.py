@@ -80,3 +80,10 @@ def test_a_hit_is_within_50_frames(spark):
     for name in ("eval_recall_frames", "eval_ap_frames"):
         ok, said = compare(spark, LARGER, name)
         assert ok, said
+
+
+def test_any_word_of_an_event_covers_it(spark):
+    ok, said = compare(spark, SF, "event_coverage_words")
+    assert ok, said
+    first = registry.QUERIES["event_coverage"](spark, SF).agg({"matched": "sum"}).first()[0]
+    assert registry.QUERIES["event_coverage_words"](spark, SF).agg({"matched": "sum"}).first()[0] > (first or 0)
