@@ -138,7 +138,7 @@ def _shared(docs, n):
     return out
 
 
-def test_shared_spans_against_brute_force(spark, hot):
+def _span_docs():
     r = random.Random(6)
     make = lambda n, al: "".join(r.choice(al) for _ in range(n))
     docs = [(i, make(r.randrange(0, 2500), "abcdefgh đỏ🎥")) for i in range(25)]
@@ -147,24 +147,38 @@ def test_shared_spans_against_brute_force(spark, hot):
         n = r.choice([250, 299, 300, 301, 340, 700])
         a = r.randrange(max(1, len(src) - n + 1))
         docs.append((i, make(r.randrange(400), "xyz ") + src[a : a + n] + make(r.randrange(400), "xyz ")))
-    docs += [(50, None), (51, ""), (52, docs[3][1]), (53, docs[3][1]), (54, " " * 900), (55, "x" + " " * 350 + "y"), (56, "ab" * 400), (57, "q" + "ab" * 160), (58, make(350, "klm") * 2), (59, "é" * 200), (60, "é" * 200)]
+    docs += [(50, None), (51, ""), (52, docs[3][1]), (53, docs[3][1]), (54, " " * 900), (55, "x" + " " * 350 + "y"), (56, "ab" * 400), (57, "q" + "ab" * 160), (58, make(350, "klm") * 2), (59, "é" * 200), (60, "é" * 200)]
+    return docs
+
+
+@pytest.mark.parametrize("span", [1, 20, 100, 134, 300, 720])
+def test_shared_spans_against_brute_force(spark, hot, span):
+    docs = _span_docs()
     df = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, doc int")
-    assert {x.doc_id: x.shared_chars for x in SP.shared_chars(df, "doc_id", "text").collect()} == _shared(docs, 300)
-    assert rows(SP.shared_chars(df.limit(0), "doc_id", "text")) == []
+    assert {x.doc_id: x.shared_chars for x in SP.shared_chars(df, "doc_id", "text", span).collect()} == _shared(docs, span)
+
+
+def test_shared_spans_of_nothing(spark):
+    df = spark.createDataFrame([(1, "a", 1)], "doc_id bigint, text string, doc int")
+    assert rows(SP.shared_chars(df.limit(0), "doc_id", "text")) == rows(SP.shared_chars(df, "doc_id", "text")) == []
+    with pytest.raises(ValueError, match="one character"):
+        SP.shared_chars(df, "doc_id", "text", 0)
 
 
 def test_shared_spans_of_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(SP, "PIECE", 700)
+    monkeypatch.setattr(SP, "PART", 100)
     r = random.Random(7)
     a = "".join(r.choice("abcdefg ") for _ in range(6000))
-    names = {}
-    for piece in (1000, 1 << 19):
-        monkeypatch.setattr(SP, "PIECE", piece)
-        covered = []
-        for at, cps, off in SP._pieces(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([a])], names=["doc", "text"]), 300):
-            _, lo, hi, *_ = SP.window_blocks(cps, off)
-            covered += [p + at for x, y in zip(lo, hi) for p in range(x, y + 1)]
-        names[piece] = covered
-    assert names[1000] == names[1 << 19] == list(range(6000 - 299))
+    docs = [(1, a), (2, "z" * 50 + a[1300:4000]), (3, a[5000:5299]), (4, "x" + a[695:1000]), (5, a[::-1])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3, "doc_id")
+    assert {x.doc_id: x.shared_chars for x in SP.shared_chars(df, "doc_id", "text").collect()} == _shared(docs, 300)
+
+
+def test_steps_leave_a_settled_symbol_in_every_window():
+    for span in range(1, 3000):
+        p = SP.Plan.of(span)
+        assert p.width >= p.longest >= 1 and (span < 20 or p.longest >= 4)
 
 
 # --- 7 ------------------------------------------------------------------------------------------
