@@ -34,8 +34,9 @@ from .textarrays import blocks, code_points, mix, within
 SPAN = 300
 #: Longest run of one character that is one symbol.
 RUN = 2
-#: Longest symbols of the first steps; each later step allows half as much again.
-STEPS = (RUN, 4, 4, 8, 8, 12, 16, 32, 48)
+#: Longest symbols of the first steps; each later step allows half as much again. For a span of 300 their sum,
+#: which bounds the margin, leaves room for no more, and symbols come out as long as for any other steps tried.
+STEPS = (RUN, 4, 4, 6, 6, 8, 8, 10, 12, 14, 16, 20, 32)
 #: Symbols that end a round, so that its dictionary stays small (short symbols recur) or is needed (long ones tell texts apart).
 ROUND_ENDS = (8, 32)
 #: A text is parsed in pieces of this many windows; pieces overlap, so that no window is cut.
@@ -109,8 +110,9 @@ def join_symbols(names: np.ndarray, length: np.ndarray, head: np.ndarray, steps:
     return names, length, head
 
 
-def _blob(a: np.ndarray, kind: str) -> pa.Array:
-    return pa.array([a.astype(kind).tobytes()], pa.binary())
+def _blob(a: np.ndarray, kind: str, packed: bool = False) -> pa.Array:
+    raw = a.astype(kind).tobytes()
+    return pa.array([pa.compress(raw, codec="zstd", asbytes=True) if packed else raw], pa.binary())
 
 
 def _parsed(doc: pa.Array, at: np.ndarray, names: np.ndarray, length: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
@@ -127,7 +129,7 @@ def _parsed(doc: pa.Array, at: np.ndarray, names: np.ndarray, length: np.ndarray
     n = np.diff(np.append(np.flatnonzero(head), len(head)))
     docs = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
     return pa.RecordBatch.from_arrays(
-        [docs, _blob(at, "<i8"), _blob(n, "<i4"), _blob(place - known, "<i4"), _blob(length, "<u2"), _blob(keys[known:], "<u8"), _blob((high > low)[known:], "u1")],
+        [docs, _blob(at, "<i8"), _blob(n, "<i4"), _blob(place - known, "<i4", True), _blob(length, "<u2", True), _blob(keys[known:], "<u8"), _blob((high > low)[known:], "u1")],
         names=["docs", "at", "n", "place", "length", "keys", "several"],
     )
 
@@ -198,17 +200,19 @@ def _dictionary(state: DataFrame) -> DataFrame:
 
 def _symbols(b: pa.RecordBatch, i: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts, their places, and names, lengths and heads of the symbols of the i-th block; names are 0 where one text only holds the symbol."""
-    col = lambda c, kind: np.frombuffer(b.column(b.schema.get_field_index(c))[i].as_buffer(), kind)
+    raw = lambda c: b.column(b.schema.get_field_index(c))[i].as_buffer()
+    packed = lambda c, kind, size: np.frombuffer(pa.decompress(raw(c), decompressed_size=size * np.dtype(kind).itemsize, codec="zstd"), kind)
     got = b.column(b.schema.get_field_index("names"))[i].values
     part = np.asarray(got.field("part")).astype(np.uint64) if got is not None else np.zeros(0, np.uint64)
     ranks = [np.frombuffer(x, "<u4") for x in got.field("ranks").to_pylist()] if got is not None else []
     rank = np.concatenate([np.zeros(0, "<u4"), *ranks]).astype(np.uint64)
     name = np.where(rank > 0, mix((np.repeat(part, [len(r) for r in ranks]) << np.uint64(32)) + rank), np.uint64(0))
     name = np.append(name, np.uint64(0))  # place -1: known to be in one text only
-    n = col("n", "<i4").astype(np.int64)
-    head = np.zeros(int(n.sum()), bool)
+    n = np.frombuffer(raw("n"), "<i4").astype(np.int64)
+    size = int(n.sum())
+    head = np.zeros(size, bool)
     head[np.cumsum(n) - n] = True
-    return b.column(b.schema.get_field_index("docs"))[i].values, col("at", "<i8"), name[col("place", "<i4")], col("length", "<u2").astype(np.int64), head
+    return b.column(b.schema.get_field_index("docs"))[i].values, np.frombuffer(raw("at"), "<i8"), name[packed("place", "<i4", size)], packed("length", "<u2", size).astype(np.int64), head
 
 
 def _next(state: DataFrame, steps: tuple[int, ...], key_type: str) -> DataFrame:
