@@ -9,12 +9,14 @@ bounded in every step, so a symbol is settled by the text within ``Plan.radius``
 equal spans consist of the same symbols but for that margin. Symbols that only one text holds can't
 lie in a shared span; they are not joined further, and windows that contain one are given up.
 
-With the last round every window of ``span`` characters contains a whole symbol that its text alone
+After the last steps every window of ``span`` characters contains a whole symbol that its text alone
 settles. The least-named one leads the window; windows led by one occurrence follow each other and
-form a stretch. Texts that share a window share its leading symbol, so shared symbols reveal where to
-look. Stretches are verified by the text itself (128 bits): if another record has all that a stretch's
-windows take in, all of them are shared; if another only has the surroundings of the leading symbol, the
-windows are compared one by one. Nothing else can be shared, so the result is exact.
+form a stretch. The last round names the high-level symbol about the leading one: all the settled
+symbols of the last dictionary that any window it leads must contain. Texts that share a window
+share this symbol, so high-level symbols in two texts or more reveal where to look. Stretches are
+verified by the text itself (128 bits): if another record has all that a stretch's windows take in,
+all of them are shared; if another only has the surroundings of the leading symbol, the windows are
+compared one by one. Nothing else can be shared, so the result is exact.
 """
 
 from __future__ import annotations
@@ -51,12 +53,14 @@ class Plan:
     """The steps of every round for a given span.
 
     As many steps are taken as leave a whole symbol, settled by the window's own text, in any window.
+    All rounds but the last end with a dictionary, whose symbols are settled by ``below`` characters.
     """
 
     span: int
     rounds: tuple[tuple[int, ...], ...]
     radius: int
     longest: int
+    below: int
 
     @property
     def width(self) -> int:
@@ -82,7 +86,9 @@ class Plan:
             if k == taken - 1 or (steps[k] in ROUND_ENDS and steps[k + 1] > steps[k]):
                 rounds.append(tuple(now))
                 now = []
-        return Plan(span, tuple(rounds) or ((),), radius, longest)
+        rounds = [*rounds, *[()] * (2 - len(rounds))]
+        named = [x for r in rounds[:-1] for x in r]
+        return Plan(span, tuple(rounds), radius, longest, RUN + 1 + sum(named[:-1]) if named else 0)
 
 
 def join_symbols(names: np.ndarray, length: np.ndarray, head: np.ndarray, steps: tuple[int, ...], first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,9 +245,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def led_stretches(names: np.ndarray, length: np.ndarray, head: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
-    """Stretches of windows led by one symbol: text, first and last window, leading symbol's place (within the text) and name.
+    """Stretches of windows led by one symbol: text, first and last window, leading symbol's place (within the text) and high-level symbol.
 
-    Windows that contain a settled symbol named 0 are left out.
+    Given are the symbols of the last dictionary. Windows that contain a settled one named 0 are left out.
     """
     none = np.zeros(0, np.int64)
     begin = np.cumsum(length) - length
@@ -250,8 +256,8 @@ def led_stretches(names: np.ndarray, length: np.ndarray, head: np.ndarray, plan:
     if size < plan.span:
         return none, none, none, none, none.astype(np.uint64)
     dead = names == 0
-    lo = np.clip(begin[dead] + length[dead] + plan.radius - plan.span, 0, size)
-    hi = np.clip(begin[dead] - plan.radius + 1, 0, size)
+    lo = np.clip(begin[dead] + length[dead] + plan.below - plan.span, 0, size)
+    hi = np.clip(begin[dead] - plan.below + 1, 0, size)
     fine = lo < hi
     gone = np.cumsum(np.bincount(lo[fine], minlength=size + 1) - np.bincount(hi[fine], minlength=size + 1))
     row = np.repeat(np.arange(len(off) - 1), np.maximum(np.diff(off) - plan.span + 1, 0))
@@ -260,16 +266,22 @@ def led_stretches(names: np.ndarray, length: np.ndarray, head: np.ndarray, plan:
     p, row = p[ok], row[ok]
     if not len(p):
         return none, none, none, none, none.astype(np.uint64)
+    top, span, _ = join_symbols(names, length, head, plan.rounds[-1], False)
     bits = np.uint64(max(20, size.bit_length()))
     order = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    order[begin] = (mix(names) >> bits << bits) | begin.astype(np.uint64)
+    start = np.cumsum(span) - span
+    order[start] = (mix(top) >> bits << bits) | start.astype(np.uint64)
     # The leader of window p begins in [p + radius, p + radius + width).
     lead = (_sliding_min(order, plan.width)[p + plan.radius] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.ones(len(p), bool)
     new[1:] = (lead[1:] != lead[:-1]) | (row[1:] != row[:-1]) | (p[1:] != p[:-1] + 1)
     at = np.flatnonzero(new)
-    base = off[row[at]]
-    return row[at], p[at] - base, p[np.append(at[1:], len(p)) - 1] - base, lead[at] - base, names[np.searchsorted(begin, lead[at])]
+    base, x = off[row[at]], lead[at]
+    # The settled symbols that every window led from x contains, and where they begin.
+    first = np.searchsorted(begin, x - plan.radius + plan.below)
+    last = np.searchsorted(begin + length, x + plan.longest + plan.radius - plan.below, "right")
+    high = _Slices(names)(first, np.maximum(last, first)) + mix((x - begin[np.minimum(first, len(begin) - 1)]).astype(np.uint64) + np.uint64(1))
+    return row[at], p[at] - base, p[np.append(at[1:], len(p)) - 1] - base, x - base, high
 
 
 def _stretches(state: DataFrame, plan: Plan, key_type: str) -> DataFrame:
@@ -277,9 +289,9 @@ def _stretches(state: DataFrame, plan: Plan, key_type: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):  # a row is a block of texts
                 docs, at, names, length, head = _symbols(b, i)
-                row, lo, hi, x, name = led_stretches(names, length, head, plan)
+                row, lo, hi, x, high = led_stretches(names, length, head, plan)
                 yield pa.RecordBatch.from_arrays(
-                    [docs.take(pa.array(row)), pa.array(name.view(np.int64)), *(pa.array((c + at[row]).astype(np.int32)) for c in (x, lo, hi))],
+                    [docs.take(pa.array(row)), pa.array(high.view(np.int64)), *(pa.array((c + at[row]).astype(np.int32)) for c in (x, lo, hi))],
                     names=["doc", "symbol", "x", "lo", "hi"],
                 )
 
@@ -296,9 +308,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Slices:
-    """64-bit names of slices of a text: equal for equal slices."""
+    """64-bit names of slices of an array: equal for equal slices."""
 
-    def __init__(self, cps: np.ndarray, base: int):
+    def __init__(self, cps: np.ndarray, base: int = _A):
         values = mix(cps.astype(np.uint64) + np.uint64(0x51ED270B27))
         power, self.inverse = _powers(base, len(values) + 1)
         self.total = np.zeros(len(values) + 1, np.uint64)
@@ -356,15 +368,19 @@ def _name_windows(texts: DataFrame, span: int, key_type: str) -> DataFrame:
 
 
 def shared_symbols(docs: DataFrame, plan: Plan, key_type: str) -> DataFrame:
-    """Stretches (doc, symbol, x, lo, hi) of windows whose symbols all occur in other texts too; docs has (doc, text)."""
+    """Stretches (doc, symbol, x, lo, hi) of windows whose high-level symbol occurs in another text too; docs has (doc, text)."""
     state = materialize(_begin(docs, plan, key_type).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    for steps in plan.rounds[1:]:
+    for steps in plan.rounds[1:-1]:
         names = _dictionary(state)
         grown = materialize(_next(state.drop("keys", "several").join(names, "block", "left"), steps, key_type).withColumn("block", F.monotonically_increasing_id()), "blocks")
         release(state)
         state = grown
-    out = materialize(_stretches(state.drop("keys", "several").join(_dictionary(state), "block", "left"), plan, key_type), "stretches")
+    led = materialize(_stretches(state.drop("keys", "several").join(_dictionary(state), "block", "left"), plan, key_type), "stretches")
     release(state)
+    # The last dictionary: high-level symbols that two texts hold.
+    both = led.groupBy("symbol").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2")).filter("d1 <> d2").select("symbol")
+    out = materialize(salted_join(led, both, ["symbol"], "left_semi", ["doc", "lo"], hot_keys(led, ["symbol"])), "stretches")
+    release(led)
     return out
 
 
