@@ -36,8 +36,7 @@ from .textarrays import blocks, code_points, mix, within
 SPAN = 300
 #: Longest run of one character that is one symbol.
 RUN = 2
-#: Longest symbols of the first steps; each later step allows half as much again. For a span of 300 their sum,
-#: which bounds the margin, leaves room for no more, and symbols come out as long as for any other steps tried.
+#: Longest symbols of the first steps; each later step allows half as much again.
 STEPS = (RUN, 4, 4, 6, 6, 8, 8, 10, 12, 14, 16, 20, 32)
 #: Symbols that end a round, so that its dictionary stays small (short symbols recur) or is needed (long ones tell texts apart).
 ROUND_ENDS = (8, 32)
@@ -52,7 +51,8 @@ _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 class Plan:
     """The steps of every round for a given span.
 
-    As many steps are taken as leave a whole symbol, settled by the window's own text, in any window.
+    As many steps are taken as leave a whole symbol, settled by the window's own text, in any window, and
+    half of the window to choose it from, so that stretches are long and few.
     All rounds but the last end with a dictionary, whose symbols are settled by ``below`` characters.
     """
 
@@ -77,7 +77,7 @@ class Plan:
         taken, radius, longest = 0, 0, 1
         for k in range(1, len(steps) + 1):
             r = RUN + 1 + sum(steps[: k - 1])
-            if span - 2 * r - steps[k - 1] + 1 < steps[k - 1]:
+            if span - 2 * r - steps[k - 1] + 1 < max(steps[k - 1], span // 2):
                 break
             taken, radius, longest = k, r, steps[k - 1]
         rounds, now = [], []
