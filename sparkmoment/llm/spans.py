@@ -394,9 +394,10 @@ def shared_intervals(df: DataFrame, key: str, text: str, span: int = SPAN) -> Da
     key_type = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= span))
     led = shared_symbols(docs, plan, key_type)
-    listed = led.groupBy("doc").agg(F.collect_list(F.struct("symbol", "x", "lo", "hi")).alias("parts"))  # bounded by the length of one text
+    # Written, so that Spark knows its size: few stretches are sent to the texts, many meet them in a shuffle.
+    listed = materialize(led.groupBy("doc").agg(F.collect_list(F.struct("symbol", "x", "lo", "hi")).alias("parts")), "listed")  # bounded by the length of one text
     named = materialize(_name_stretches(docs.join(listed, "doc"), plan, key_type), "named")
-    release(led)
+    release(led, listed)
     both = materialize(named.groupBy("around").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2")).filter("d1 <> d2").select("around"), "around")
     hot = hot_keys(named, ["around"])
     near = materialize(salted_join(named, both, ["around"], "left_semi", ["doc", "lo"], hot), "near")
@@ -408,7 +409,7 @@ def shared_intervals(df: DataFrame, key: str, text: str, span: int = SPAN) -> Da
     alone = groups.filter("d1 = d2").select("around").distinct()
     compare = salted_join(groups, alone, ["around"], "left_semi", ["whole"], hot)
     compare = compare.select(F.col("one.doc").alias("doc"), F.struct("around", "whole", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "d1", "d2").alias("part"))
-    parts = compare.groupBy("doc").agg(F.collect_list("part").alias("parts"))  # bounded by the length of one text
+    parts = materialize(compare.groupBy("doc").agg(F.collect_list("part").alias("parts")), "listed")  # bounded by the length of one text
     windows = materialize(_name_windows(docs.join(parts, "doc"), span, key_type), "windows")
     common = windows.groupBy("around", "name").agg(F.min("d1").alias("d1"), F.max("d2").alias("d2")).filter("d1 <> d2").select("around", "name")
     mine = windows.filter("d1 = d2").select("around", "whole", "offset", "name")
