@@ -38,8 +38,8 @@ SPAN = 300
 RUN = 2
 #: Longest symbols of the first steps; each later step allows half as much again.
 STEPS = (RUN, 4, 4, 6, 6, 8, 8, 10, 12, 14, 16, 20, 32)
-#: Symbols that end a round, so that its dictionary stays small (short symbols recur) or is needed (long ones tell texts apart).
-ROUND_ENDS = (8, 32)
+#: Longest symbols that end a round: short ones, of which there are few, and then long ones, which tell texts apart.
+ROUND_ENDS = (6, 32)
 #: A text is parsed in pieces of this many windows; pieces overlap, so that no window is cut.
 PIECE = 1 << 19
 #: Keys in a part of the dictionary.
@@ -124,7 +124,8 @@ def _blob(a: np.ndarray, kind: str, packed: bool = False) -> pa.Array:
 def _parsed(doc: pa.Array, at: np.ndarray, names: np.ndarray, length: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
     """A block: its texts, and their symbols as places in the sorted list of the block's distinct keys.
 
-    ``several`` marks keys that more than one text of the block holds.
+    ``several`` marks keys that more than one text of the block holds. A key's symbols are of one length,
+    ``key_length``; ``dead_length`` lists the lengths of those named 0, which need no key.
     """
     keys, place = np.unique(names, return_inverse=True)
     piece = np.cumsum(head) - 1
@@ -134,14 +135,16 @@ def _parsed(doc: pa.Array, at: np.ndarray, names: np.ndarray, length: np.ndarray
     known = int(len(keys) > 0 and keys[0] == 0)  # those named 0 need no name
     n = np.diff(np.append(np.flatnonzero(head), len(head)))
     docs = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
+    of_key = np.zeros(len(keys), np.int64)
+    of_key[place] = length
     return pa.RecordBatch.from_arrays(
-        [docs, _blob(at, "<i8"), _blob(n, "<i4"), _blob(place - known, "<i4", True), _blob(length, "<u2", True), _blob(keys[known:], "<u8"), _blob((high > low)[known:], "u1")],
-        names=["docs", "at", "n", "place", "length", "keys", "several"],
+        [docs, _blob(at, "<i8"), _blob(n, "<i4"), _blob(place - known, "<i4", True), _blob(of_key[known:], "<u2"), _blob(length[names == 0], "<u2"), _blob(keys[known:], "<u8"), _blob((high > low)[known:], "u1")],
+        names=["docs", "at", "n", "place", "key_length", "dead_length", "keys", "several"],
     )
 
 
 def _block_schema(key_type: str) -> str:
-    return f"docs array<{key_type}>, at binary, n binary, place binary, length binary, keys binary, several binary"
+    return f"docs array<{key_type}>, at binary, n binary, place binary, key_length binary, dead_length binary, keys binary, several binary"
 
 
 def _begin(docs: DataFrame, plan: Plan, key_type: str) -> DataFrame:
@@ -218,7 +221,10 @@ def _symbols(b: pa.RecordBatch, i: int) -> tuple[pa.Array, np.ndarray, np.ndarra
     size = int(n.sum())
     head = np.zeros(size, bool)
     head[np.cumsum(n) - n] = True
-    return b.column(b.schema.get_field_index("docs"))[i].values, np.frombuffer(raw("at"), "<i8"), name[packed("place", "<i4", size)], packed("length", "<u2", size).astype(np.int64), head
+    place = packed("place", "<i4", size)
+    length = np.append(np.frombuffer(raw("key_length"), "<u2"), 0).astype(np.int64)[place]
+    length[place < 0] = np.frombuffer(raw("dead_length"), "<u2")
+    return b.column(b.schema.get_field_index("docs"))[i].values, np.frombuffer(raw("at"), "<i8"), name[place], length, head
 
 
 def _next(state: DataFrame, steps: tuple[int, ...], key_type: str) -> DataFrame:
