@@ -4,36 +4,37 @@ A document holds ``run`` consecutive words of an item exactly if it holds all of
 consecutive w-word shingles of one of the item's windows of ``run`` words. All of them have to be
 there, so by the prefix-filter rule one necessary token per window is enough: its rarest shingle.
 
-1. One pass over all documents counts in how many documents each item shingle occurs.
-2. Every window's shingles are ordered by that frequency; the rarest is the window's prefix token.
-3. A second pass looks up the prefix tokens only. A hit aligns window and document; the length bound
-   (the whole window has to fit into the document at that place) discards what can't hold, and the
-   words of the aligned stretch are compared one by one.
-
-Items are held-out test sets of bounded size (``max_items``); they are what is broadcast. Larger
-ones are worked off in portions of that size, so the bound holds for any number of items.
+1. Items become a table of shingles and their places.
+2. One pass over all documents finds where they hold shingles of items. A bitmap of fixed size lets
+   most others go where the text is read; what passes it is joined with the items' shingles.
+3. Every window's shingles are ordered by the number of documents that hold them; the rarest is the
+   window's prefix token. Joining on those aligns windows and documents.
+4. Along each alignment the shingles found must follow each other for a whole window: the length and
+   positional bounds, and the exact check, word for word. Words are compared by 64-bit names.
+
+Nothing grows with the number of items but tables; only the bitmap (2 MB) is sent to the tasks.
 """
 
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..store import materialize
+from ..skew import hot_keys, salted_join
+from ..store import materialize, release
 from ..tables import table
 from .canon import canon, canonical_sql
 from .textarrays import blocks, code_points, mix
 
 RUN = 15
 SHINGLE = 5
-#: Items broadcast at once.
-MAX_ITEMS = 5_000
+#: Bits of a shingle's name that address the bitmap.
+BITS = 24
 
 
 class _WordClass:
@@ -105,163 +106,81 @@ def shingles(names: np.ndarray, off: np.ndarray, w: int) -> tuple[np.ndarray, np
     return mix(h), row[:n] == row[w - 1 : w - 1 + n]
 
 
-class _Items:
-    """The items' words, their windows and the shingles of the windows."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], run: int, w: int):
-        self.ids = np.array(ids, np.int64)
-        self.run, self.w = run, w
-        self.names, self.off = words(pa.array(texts, pa.string()))
-        self.shingle, self.whole = shingles(self.names, self.off, w)
-        self.row = np.repeat(np.arange(len(ids)), np.diff(self.off))
-        self.known = np.unique(self.shingle[self.whole])
-        n = len(self.names) - run + 1
-        self.windows = np.flatnonzero(self.row[: max(n, 0)] == self.row[run - 1 : run - 1 + max(n, 0)]) if n > 0 else np.zeros(0, np.int64)
-
-    def prefixes(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted prefix tokens and, beside each, the index of the item word at which it begins."""
-        if not len(self.windows):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        f = frequency[np.searchsorted(self.known, self.shingle[np.minimum(np.arange(len(self.names)), len(self.shingle) - 1)]).clip(0, len(self.known) - 1)]
-        k = self.run - self.w + 1
-        at = self.windows[:, None] + np.arange(k)
-        # Ties by the token's name, so that neighbouring windows choose the same one.
-        order = np.lexsort((self.shingle[at], f[at]), axis=1)[:, 0]
-        chosen = np.unique(at[np.arange(len(at)), order])
-        sort = np.argsort(self.shingle[chosen], kind="stable")
-        return self.shingle[chosen][sort], chosen[sort]
-
-
-class _Filter:
-    """Which of many names are in a small sorted set: a bitmap first, a binary search for what passes it."""
-
-    def __init__(self, known: np.ndarray):
-        self.known = known
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[known >> np.uint64(44)] = True
-
-    def __call__(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of names in the set, and their places in it."""
-        at = np.flatnonzero(self.bits[names >> np.uint64(44)])
-        if not len(at) or not len(self.known):
-            return at[:0], at[:0]
-        place = np.minimum(np.searchsorted(self.known, names[at]), len(self.known) - 1)
-        yes = self.known[place] == names[at]
-        return at[yes], place[yes]
+def _item_shingles(items: DataFrame, run: int, w: int) -> DataFrame:
+    """(item, pos, shingle) of all items with ``run`` words or more."""
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in blocks(whole, "text"):
+                names, off = words(b.column(1))
+                h, inside = shingles(names, off, w)
+                row = np.searchsorted(off, np.arange(len(h)), "right") - 1
+                keep = np.flatnonzero(inside & (np.diff(off)[row] >= run))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), pa.array((keep - off[row[keep]]).astype(np.int32)), pa.array(h[keep].view(np.int64))], names=["item", "pos", "shingle"])
 
-_READY: dict = {}
+    return items.mapInArrow(go, "item bigint, pos int, shingle bigint")
 
 
-def _prepared(key, make):
-    """Built once per worker process."""
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = make()
-    return _READY[key]
+def _bitmap(shingle_rows: DataFrame) -> np.ndarray:
+    """2 ** BITS bits, those set at which a shingle's first bits point; at most 2 ** (BITS - 6) words come to the driver."""
+    at = F.shiftrightunsigned("shingle", 64 - BITS)
+    rows = shingle_rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    for r in rows:
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint8)
 
 
-def _count(docs: DataFrame, shared, run: int, w: int) -> DataFrame:
-    name = uuid.uuid4().hex
+def _document_shingles(docs: DataFrame, bitmap, w: int, key_type: str) -> DataFrame:
+    """(doc, pos, shingle) of all documents' shingles that pass the bitmap."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = shared.value
-        items, known = _prepared(name, lambda: (x := _Items(ids, texts, run, w), _Filter(x.known)))
-        n = np.zeros(len(items.known), np.int64)
+        bits = np.unpackbits(bitmap.value, bitorder="little").astype(bool)
         for whole in batches:
             for b in blocks(whole, "text"):
                 names, off = words(b.column(1))
                 h, inside = shingles(names, off, w)
-                at, place = known(h)
-                keep = inside[at]
-                at, place = at[keep], place[keep]
+                at = np.flatnonzero(inside & bits[h >> np.uint64(64 - BITS)])
                 row = np.searchsorted(off, at, "right") - 1
-                seen = np.unique(row * len(n) + place)  # a document counts once
-                n += np.bincount(seen % max(len(n), 1), minlength=len(n))
-        hit = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(n[hit], pa.int64())], names=["token", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((at - off[row]).astype(np.int32)), pa.array(h[at].view(np.int64))], names=["doc", "pos", "shingle"])
 
-    return docs.mapInArrow(go, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(go, f"doc {key_type}, pos int, shingle bigint")
 
 
-def _join(docs: DataFrame, shared, run: int, w: int, key_type: str) -> DataFrame:
-    name = uuid.uuid4().hex
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, frequency = shared.value
-        items, filt, (token, word) = _prepared(name, lambda: (x := _Items(ids, texts, run, w), _Filter(np.unique((p := x.prefixes(frequency))[0])), p))
-        first = np.searchsorted(token, filt.known)
-        many = np.append(first[1:], len(token)) - first
-        for whole in batches:
-            for b in blocks(whole, "text"):
-                names, off = words(b.column(1))
-                h, inside = shingles(names, off, w)
-                at, place = filt(h)
-                keep = inside[at]
-                at, place = at[keep], place[keep]
-                # Each hit meets every item place of its token; tokens shared by items are few.
-                n = many[place]
-                reps = np.repeat(np.arange(len(at)), n)
-                iw = word[np.repeat(first[place], n) + (np.arange(len(reps)) - np.repeat(np.cumsum(n) - n, n))]
-                dw = at[reps]
-                rows, leaked = _verify(items, names, off, iw, dw, run, w)
-                yield pa.RecordBatch.from_arrays([pa.array(items.ids[leaked], pa.int64()), b.column(0).take(pa.array(rows))], names=["item_id", "doc_id"])
-
-    return docs.mapInArrow(go, f"item_id bigint, doc_id {key_type}")
-
-
-def _verify(items: _Items, names: np.ndarray, off: np.ndarray, iw: np.ndarray, dw: np.ndarray, run: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, item) whose aligned words agree over ``run`` words that take in the shingle."""
-    if not len(iw):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row = np.searchsorted(off, dw, "right") - 1
-    item = items.row[iw]
-    left = np.minimum(np.minimum(iw - items.off[item], dw - off[row]), run - w)
-    right = np.minimum(np.minimum(items.off[item + 1] - iw, off[row + 1] - dw), run)
-    fits = left + right >= run
-    row, item, iw, dw, left, right = (x[fits] for x in (row, item, iw, dw, left, right))
-    agree = np.ones(len(iw), bool)
-    after = np.zeros(len(iw), np.int64)
-    for k in range(run):
-        agree &= k < right
-        agree[agree] = items.names[iw[agree] + k] == names[dw[agree] + k]
-        after += agree
-    agree = after >= w
-    before = np.zeros(len(iw), np.int64)
-    for k in range(1, run - w + 1):
-        agree &= k <= left
-        agree[agree] = items.names[iw[agree] - k] == names[dw[agree] - k]
-        before += agree
-    yes = (after >= w) & (before + after >= run)
-    both = np.unique(row[yes] * len(items.ids) + item[yes])
-    return both // len(items.ids), both % len(items.ids)
-
-
-def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, run: int = RUN, w: int = SHINGLE, max_items: int = MAX_ITEMS) -> DataFrame:
+def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, run: int = RUN, w: int = SHINGLE) -> DataFrame:
     """Rows (item_id, doc_id): the document holds at least ``run`` consecutive words of the item.
 
-    Null and empty texts, and items shorter than ``run`` words, give no rows. Repeated documents and
-    items each give their own rows; a pair comes out once. Any number of items is worked off in
-    portions of at most ``max_items``.
+    Null keys, null and empty texts, and items shorter than ``run`` words, give no rows. Repeated
+    documents and items each give their own rows; a pair comes out once. ``run`` is ``w`` at least.
     """
-    spark = docs.sparkSession
+    if not 1 <= w <= run:
+        raise ValueError("a window has as many words as a shingle at least")
     key_type = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
-    items = items.select(F.col(item_key).cast("bigint").alias("id"), F.col(item_text).alias("text")).filter("text is not null")
-    n = items.count()
-    out = None
-    portions = -(-n // max_items) or 1
-    for k in range(portions):
-        part = items if portions == 1 else items.filter(F.pmod(F.xxhash64("id"), F.lit(portions)) == k)
-        got = sorted((r["id"], r["text"]) for r in part.collect())  # about max_items rows
-        ids, texts = [x for x, _ in got], [x for _, x in got]
-        counting = spark.sparkContext.broadcast((ids, texts))
-        known = len(_Items(ids, texts, run, w).known)
-        frequency = np.zeros(max(known, 1), np.int64)
-        for r in _count(docs, counting, run, w).collect():  # at most one row per item shingle
-            frequency[r["token"]] = r["n"]
-        found = _join(docs, spark.sparkContext.broadcast((ids, texts, frequency)), run, w, key_type)
-        out = found if out is None else out.unionByName(found)
+    docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
+    items = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null")
+    own = materialize(_item_shingles(items, run, w), "items")
+    known = own.select("shingle").distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(known))
+    hits = materialize(_document_shingles(docs, bitmap, w, key_type).join(known, "shingle", "left_semi"), "hits")
+    hot = hot_keys(hits, ["shingle"])
+
+    # The rarest shingle of every window.
+    n = hits.groupBy("shingle", "doc").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count("one").alias("n"))
+    size = run - w + 1
+    window = W.partitionBy("item").orderBy("pos").rowsBetween(0, size - 1)
+    rare = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "pos")).over(window)
+    prefix = own.distinct().join(n, "shingle", "left").select("item", rare.alias("r"), F.count(F.lit(1)).over(window).alias("wide")).filter((F.col("wide") == size) & (F.col("r.n") > 0))
+    prefix = prefix.select("item", "r.shingle", F.col("r.pos").alias("at")).distinct()
+
+    # Alignments of a window and a document, and the shingles that agree along them.
+    aligned = salted_join(hits, prefix, ["shingle"], "inner", ["doc", "pos"], hot).select("item", "doc", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    aligned = materialize(aligned, "aligned")
+    along = hits.join(aligned, "doc").withColumn("at", F.col("pos") - F.col("shift"))
+    agree = along.join(own.select("item", F.col("pos").alias("at"), "shingle"), ["item", "at", "shingle"], "left_semi").select("item", "doc", "shift", "at").distinct()
+    place = F.row_number().over(W.partitionBy("item", "doc", "shift").orderBy("at"))
+    runs = agree.withColumn("island", F.col("at") - place).groupBy("item", "doc", "shift", "island").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= size)
+    out = materialize(runs.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id")).distinct(), "leaks")
+    release(own, hits, aligned)
     return out
 
 
@@ -272,7 +191,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items: in how many documents each is found, by source of the documents."""
     docs = table(spark, d, "documents").select("doc_id", "source")
-    found = materialize(p9_found(spark, d), "leaks")
+    found = p9_found(spark, d)
     items = table(spark, d, "eval_items").select("item_id", "task")
     return docs.join(found, "doc_id").groupBy("item_id", "source").agg(F.count(F.lit(1)).alias("n_docs")).join(items, "item_id").select("item_id", "task", "source", "n_docs")
 

@@ -8,6 +8,7 @@ perturbations by one cell of one or more projections, in the order of their squa
 borders crossed. In each bucket the vectors looked up meet the vectors filed as one matrix product,
 candidates of all buckets are merged per vector, and the best are ranked by their exact cosine.
 
+The number of projections follows from the number of vectors in a space, each space having its own.
 Equal vectors are filed k + 1 times at most (those with the smallest ids can be anyone's best only),
 the others' neighbours follow from that. Buckets of very many vectors are cut into a grid of filed
 and looked-up portions, each pair of which meets in a task of its own.
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..skew import hot_keys, salted_join
+from ..store import materialize
 from ..tables import table
 
 K = 5
@@ -39,8 +41,9 @@ DECIMALS = 9
 _SEED = 20_011
 
 
-def functions_for(n: int) -> int:
-    return min(24, max(1, round(6 + math.log(max(n, 1) / SIX_AT, 4))))
+def functions_for(n: Column) -> Column:
+    """Projections a table for a space of n vectors."""
+    return F.greatest(F.lit(1), F.round(6 + F.log(F.greatest(n, F.lit(1)) / F.lit(float(SIX_AT))) / math.log(4)).cast("int"))
 
 
 def _projections(dim: int, functions: int, tables: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,40 +105,53 @@ def _buckets(x: np.ndarray, space: np.ndarray, functions: int, tables: int, widt
             yield k, h ^ (h >> 29)
 
 
-def _file(rows: DataFrame, functions: int, tables: int, width: float, probes: int, portions: dict[int, int] | None) -> DataFrame:
-    """Rows (bucket, role, id, raw) of every bucket in which a vector is filed (role 1), looked up (2) or both (3).
+def _raw(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), len(x), [None, pa.py_buffer(x.astype("<f4").tobytes())]).cast(pa.binary())
 
-    With ``portions`` None only (bucket) of the own buckets.
+
+def _file(rows: DataFrame, tables: int, width: float, probes: int) -> DataFrame:
+    """Rows (bucket, role, id, raw) of every bucket in which a vector is looked up (role 2), and also filed (3), its own.
+
+    ``rows`` has (space, id, vec, functions). With no probes only (bucket) of the own buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.asarray(b.column(2).value_lengths().fill_null(0))
-            for dim in np.unique(size[size > 0]).tolist():
-                part = b.filter(pa.array(size == dim))
+            size, functions = np.asarray(b.column(2).value_lengths().fill_null(0)), np.asarray(b.column(3))
+            for dim, m in np.unique(np.stack([size, functions], 1)[size > 0], axis=0).tolist():
+                part = b.filter(pa.array((size == dim) & (functions == m)))
                 x = _matrix(part.column(2))
                 ok = np.flatnonzero(_good(x))
                 if not len(ok):
                     continue
                 x, ids, space = x[ok], np.asarray(part.column(1))[ok], np.asarray(part.column(0))[ok]
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(x.astype("<f4").tobytes())]).cast(pa.binary())
-                for k, bucket in _buckets(x, space, functions, tables, width, 1 if portions is None else probes):
-                    if portions is None:
+                for k, bucket in _buckets(x, space, m, tables, width, max(probes, 1)):
+                    if probes:
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(x), 3 if k == 0 else 2, np.int8)), pa.array(ids), _raw(x)], names=["bucket", "role", "id", "raw"])
+                    else:
                         yield pa.RecordBatch.from_arrays([pa.array(bucket)], names=["bucket"])
-                        continue
-                    cut = np.array([portions.get(v, 1) for v in bucket.tolist()]) if portions else np.ones(len(bucket), np.int64)
-                    role = np.full(len(x), 3 if k == 0 else 2, np.int8)
-                    one = np.flatnonzero(cut == 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[one]), pa.array(role[one]), pa.array(ids[one]), raw.take(pa.array(one))], names=["bucket", "role", "id", "raw"])
-                    for i in np.flatnonzero(cut > 1).tolist():  # row i of the grid files it, column i looks it up
-                        n = int(cut[i])
-                        mine = int(ids[i]) * 0x9E3779B1 % n
-                        grid = np.arange(n)
-                        to = [bucket[i] ^ ((mine * n + grid + 1) * 0x5851F42D4C957F2D % (1 << 62))] * (k == 0) + [bucket[i] ^ ((grid * n + mine + 1) * 0x5851F42D4C957F2D % (1 << 62))]
-                        for r, cells in zip([1, 2][2 - len(to) :], to, strict=True):
-                            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(n, r, np.int8)), pa.array(np.full(n, ids[i])), raw.take(pa.array(np.full(n, i)))], names=["bucket", "role", "id", "raw"])
-
-    return rows.select("space", "id", "vec").mapInArrow(run, "bucket bigint" + (", role tinyint, id bigint, raw binary" if portions is not None else ""))
+
+    return rows.select("space", "id", "vec", "functions").mapInArrow(run, "bucket bigint" + (", role tinyint, id bigint, raw binary" if probes else ""))
+
+
+def _portioned(met: DataFrame, portions: DataFrame) -> DataFrame:
+    """``met`` with the buckets of ``portions`` (bucket, parts) cut into cells: row i of the grid files a portion, column i looks it up."""
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    grid = F.sequence(F.lit(0), F.col("parts") - 1)
+    cell = lambda i, j, role: F.struct((i * F.col("parts") + j + 1).alias("cell"), F.lit(role).cast("tinyint").alias("role"))
+    filed = F.when(F.col("role").bitwiseAND(1) != 0, F.transform(grid, lambda j: cell(mine, j, 1)))
+    asked = F.when(F.col("role").bitwiseAND(2) != 0, F.transform(grid, lambda i: cell(i, mine, 2)))
+    none = F.array().cast("array<struct<cell:int,role:tinyint>>")
+    cells = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("cell"), F.col("role").alias("role")))).otherwise(F.concat(F.coalesce(filed, none), F.coalesce(asked, none)))
+    out = met.join(portions, "bucket", "left").select("bucket", F.explode(cells).alias("c"), "id", "raw")
+    return out.select(F.when(F.col("c.cell") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "c.cell")).alias("bucket"), F.col("c.role").alias("role"), "id", "raw")
+
+
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    """(id, other, similarity, rank): the k best of each vector looked up, over all its buckets."""
+    best = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(k), "id bigint, best array<struct<far double, id bigint>>")
+    ranked = best.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))  # a list of k for each bucket looked up
+    return ranked.select("id", F.posexplode("best").alias("pos", "b")).select("id", F.col("b.id").alias("other"), (-F.col("b.far")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
 def _best(query: np.ndarray, filed: np.ndarray, q_id: np.ndarray, f_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,16 +241,11 @@ def nearest_vectors(df: DataFrame, space: str, key: str, vec: str, k: int = K, t
     same = ["space", "h1", "h2"]
     rows = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.hash("vec")})
     few = rows.withColumn("copy", F.row_number().over(W.partitionBy(*same).orderBy("id"))).filter(F.col("copy") <= k + 1)
-    n = df.count()
-    functions = functions_for(n)
-    own = _file(few, functions, tables, width, 1, None)
-    large = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT_ABOVE) if n * tables > SPLIT_ABOVE else None
-    # The largest buckets only; those left whole give the same rows from one task each.
-    portions = {r["bucket"]: -(-r["n"] // PORTION) for r in large.orderBy(F.desc("n")).limit(4096).collect()} if large is not None else {}
-    met = _file(few, functions, tables, width, probes, portions).repartition("bucket").sortWithinPartitions("bucket")
-    best = met.mapInArrow(_meet(k), "id bigint, best array<struct<far double, id bigint>>")
-    ranked = best.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))  # tables * probes lists of k
-    found = ranked.select("id", F.posexplode("best").alias("pos", "b")).select("id", F.col("b.id").alias("other"), (-F.col("b.far")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
+    sizes = rows.groupBy("space").agg(functions_for(F.count(F.lit(1))).alias("functions"))
+    few = salted_join(few, sizes, ["space"], "inner", ["id"], hot_keys(df.select(F.xxhash64(space).alias("space")), ["space"]))
+    own = _file(few, tables, width, 0).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(own.filter(F.col("n") > SPLIT_ABOVE).select("bucket", F.ceil(F.col("n") / PORTION).cast("int").alias("parts")), "large")
+    found = _ranked(_portioned(_file(few, tables, width, probes), large), k)
 
     # Copies beyond the first k + 1 have the k first ones as their neighbours.
     firsts = few.groupBy(*same).agg(F.max("copy").alias("n"), F.max("id").alias("last"), F.array_sort(F.collect_list("id")).alias("ids")).filter(F.col("n") > k)
@@ -245,6 +256,23 @@ def nearest_vectors(df: DataFrame, space: str, key: str, vec: str, k: int = K, t
     return found.unionByName(more)
 
 
+def exact_neighbours(df: DataFrame, space: str, key: str, vec: str, asked: Column, k: int = K) -> DataFrame:
+    """As ``nearest_vectors`` by brute force, for the vectors that are ``asked`` only: every one of them meets all of its space, in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.asarray(b.column(2).value_lengths())
+            for dim in np.unique(size).tolist():
+                part = b.filter(pa.array(size == dim))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(1), _raw(_matrix(part.column(2)))], names=["bucket", "role", "id", "raw"])
+
+    role = F.when(F.coalesce(asked, F.lit(False)), 3).otherwise(1).cast("tinyint").alias("role")
+    rows = df.select(F.xxhash64(space).alias("space"), F.col(key).cast("bigint").alias("id"), F.col(vec).alias("vec"), role).filter(F.col("id").isNotNull() & usable("vec"))
+    parts = rows.groupBy(F.col("space").alias("bucket")).agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("int").alias("parts"))
+    met = rows.mapInArrow(run, "bucket bigint, role tinyint, id bigint, raw binary")
+    return _ranked(_portioned(met, materialize(parts, "portions")), k)
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors as long as their version says."""
     dims = table(spark, d, "siglip2_meta").select("embedding_version", "embedding_dim").distinct()
@@ -262,5 +290,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("vector_id_a"), F.greatest("id", "other").alias("vector_id_b")).distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_nearest": p6_nearest}
-SQL: dict[str, str] = {}
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Per version: vectors with an id divisible by 20, their neighbours by brute force over all vectors, and whether 0.9 of these are found."""
+    v = _vectors(spark, d)
+    true = exact_neighbours(v, "embedding_version", "vector_id", "vec", F.col("vector_id") % 20 == 0).select("id", "other")
+    near = p6_nearest(spark, d).select("id", "other").withColumn("found", F.lit(1))
+    both = true.join(near, ["id", "other"], "left").join(v.select(F.col("vector_id").alias("id"), "embedding_version"), "id")
+    return both.groupBy("embedding_version").agg(F.count_distinct("id").alias("n_vectors"), F.count(F.lit(1)).alias("n_neighbours"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_nearest": p6_nearest, "p6_recall": p6_recall}
+SQL = {
+    "p6_recall": f"""WITH v AS (SELECT vector_id, embedding_version FROM manifest_siglip2 JOIN siglip2_meta USING (embedding_version)
+  WHERE len(vec) = embedding_dim AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+n AS (SELECT embedding_version, count(*) AS n FROM v GROUP BY 1)
+SELECT embedding_version, count(*) AS n_vectors, CAST(sum(least(n - 1, {K})) AS BIGINT) AS n_neighbours, true AS enough FROM v JOIN n USING (embedding_version) WHERE vector_id % 20 = 0 AND n > 1 GROUP BY 1"""
+}

@@ -2,8 +2,9 @@
 
 Every score is replaced by its rank among the items of its group, so that no scale dominates. The
 scores' correlation matrix is computed in one distributed aggregation over all rows (its size depends
-on the number of scores only); the first eigenvector, its signs turned so that standing higher on a
-score never lowers an item, weighs the ranks. Items are sorted by the projection.
+on the number of scores only). The first eigenvector weighs the ranks, every loading with its full
+size and with the sign of its score's declared direction, so that standing higher on a score never
+lowers an item. Items are sorted by the projection.
 
 A best-by-worst-place selection is read off that order: an item whose worst place is w has a
 projection of at least what w on all scores gives, so once k items of worst place at most w are
@@ -21,17 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.keys import VIDEO_KEY_SQL, video_key
 from ..operators.ranks import places
-from ..skew import FAN, hot_keys, is_hot
+from ..skew import FAN, hot_keys, is_hot, salted_join
 from ..store import materialize
 from ..tables import table
 
 
 def first_component(df: DataFrame, scores: Sequence[str]) -> np.ndarray:
-    """Weights of the first principal component of the columns, non-negative, summing to 1.
+    """Weights of the first principal component of the columns, summing to 1.
 
-    From the correlation matrix over all rows; a constant column correlates with none. Columns point
-    in the declared direction already, so the component's sign is turned to agree with most of them
-    and a loading against its direction counts as 0. Without any usable variation all weigh the same.
+    From the correlation matrix over all rows; a constant column correlates with none. The columns point
+    in their declared directions already, so every loading is oriented to them: it counts with its size.
+    Without any usable variation all weigh the same.
     """
     n = len(scores)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
@@ -43,8 +44,9 @@ def first_component(df: DataFrame, scores: Sequence[str]) -> np.ndarray:
         if i < j and scale > 1e-15:
             m[i, j] = m[j, i] = cov[i, j] / scale
     v = np.linalg.eigh(m)[1][:, -1]
-    v = np.maximum(v if v.sum() >= 0 else -v, 0)
-    return v / v.sum() if v.sum() > 1e-12 else np.full(n, 1 / n)
+    if not np.abs(m - np.eye(n)).max() > 0:
+        return np.full(n, 1 / n)
+    return np.abs(v) / np.abs(v).sum()
 
 
 def rank_fusion(scores: DataFrame, group: str, item: str, name: str, value: str, directions: Mapping[str, int]) -> DataFrame:
@@ -66,7 +68,7 @@ def rank_fusion(scores: DataFrame, group: str, item: str, name: str, value: str,
     wide = ranked.groupBy("g", "i").agg(*(F.max(F.when(F.col("s") == x, F.col("place"))).alias(f"p{k}") for k, x in enumerate(names)))
     wide = materialize(wide, "places")
     size = wide.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    wide = wide.join(size, "g")
+    wide = salted_join(wide, size, ["g"], "inner", ["i"], hot)
     wide = wide.select("g", "i", "n", *(F.coalesce(f"p{k}", "n").alias(f"p{k}") for k in range(len(names))))
     unit = [(F.coalesce((F.col(f"p{k}") - 1) / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0))).alias(f"u{k}") for k in range(len(names))]
     weights = first_component(wide.select(*unit), [f"u{k}" for k in range(len(names))])
@@ -78,8 +80,7 @@ def rank_fusion(scores: DataFrame, group: str, item: str, name: str, value: str,
 def best_worst(ranked: DataFrame, group: str, item: str, k: int) -> DataFrame:
     """The k items per group whose worst place is best, found in the order of the projection.
 
-    Ties by the projection, then by the item. A group is first cut down in parts, so that none has
-    to be sorted in one task.
+    Ties by the item. A group is first cut down in parts, so that none has to be sorted in one task.
     """
     # The k first of each part by projection hold the k first of the group; their worst places bound the rest.
     hot = hot_keys(ranked, [group])
@@ -90,8 +91,8 @@ def best_worst(ranked: DataFrame, group: str, item: str, k: int) -> DataFrame:
     bound = heads.withColumn("__r", F.row_number().over(W.partitionBy(group).orderBy("worst"))).filter(F.col("__r") <= k).groupBy(group).agg(F.max("worst").alias("__w"))
     # worst <= w implies projection <= (w - 1) / (n - 1), for the weights sum to 1.
     limit = F.coalesce((F.col("__w") - 1) / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0)) + F.lit(1e-9)
-    rest = parted.join(bound, group).filter(F.col("projection") <= limit)
-    order = [F.col("worst"), F.col("projection"), F.col(item)]
+    rest = salted_join(parted, bound, [group], "inner", [item], hot).filter(F.col("projection") <= limit)
+    order = [F.col("worst"), F.col(item)]
     rest = rest.withColumn("__r", F.row_number().over(W.partitionBy(group, "__part").orderBy(*order))).filter(F.col("__r") <= k)
     return rest.withColumn("__r", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("__r") <= k).withColumn("standing", F.col("__r")).drop("__r", "__part", "__w")
 
@@ -114,7 +115,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Every video found for a query with its places and its projection (small is good)."""
-    return _ranked(spark, d)
+    return _ranked(spark, d).withColumn("projection", F.round("projection", 5))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,11 +130,32 @@ WITH x AS (
 b AS (SELECT query_id, video_id, name, max(CASE WHEN isfinite(v) THEN v END) AS v FROM x WHERE query_id IS NOT NULL AND video_id IS NOT NULL AND name IN ('bm25', 'dense', 'asr', 'visual', 'object') GROUP BY ALL),
 p AS (SELECT *, CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY query_id, name ORDER BY v DESC NULLS LAST) END AS place FROM b),
 n AS (SELECT query_id, count(DISTINCT video_id) AS n FROM b GROUP BY 1),
-w AS (SELECT query_id, video_id, greatest({g}) AS worst FROM (SELECT query_id, video_id, {a} FROM p JOIN n USING (query_id) GROUP BY ALL))
+w AS MATERIALIZED (SELECT query_id, video_id, any_value(n) AS n, {a} FROM p JOIN n USING (query_id) GROUP BY ALL)
 """.format(
     k=VIDEO_KEY_SQL.format("video_id"),
-    a=", ".join(f"coalesce(max(CASE WHEN name = '{x}' THEN place END), any_value(n)) AS p_{x}" for x in DIRECTIONS),
-    g=", ".join(f"p_{x}" for x in DIRECTIONS),
+    a=", ".join(f"coalesce(max(CASE WHEN name = '{x}' THEN place END), any_value(n)) AS place_{x}" for x in DIRECTIONS),
 )
+_WORST = "greatest({})".format(", ".join(f"place_{x}" for x in DIRECTIONS))
+
+
+def _component_sql(squarings: int = 12) -> str:
+    """First component in SQL: the correlation matrix is squared until only its first direction is left."""
+    names = list(DIRECTIONS)
+    k = range(len(names))
+    unit = ", ".join(f"coalesce((place_{x} - 1) / nullif(n - 1, 0), 0.0) AS u{i}" for i, x in enumerate(names))
+    c = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
+    upper = [(i, j) for i in k for j in k if i <= j]
+    out = [f", u AS MATERIALIZED (SELECT *, {unit} FROM w)", "m0 AS MATERIALIZED (SELECT {} FROM u)".format(", ".join("1.0 AS " + c(i, j) if i == j else f"corr(u{i}, u{j}) AS {c(i, j)}" for i, j in upper))]
+    for r in range(squarings):
+        trace = " + ".join(c(i, i) for i in k)
+        out.append("m{} AS MATERIALIZED (SELECT {} FROM (SELECT *, {} AS tr FROM m{}))".format(r + 1, ", ".join("({}) / (tr * tr) AS {}".format(" + ".join(f"{c(i, x)} * {c(x, j)}" for x in k), c(i, j)) for i, j in upper), trace, r))
+    size = " + ".join(f"sqrt({c(i, i)})" for i in k)
+    out.append("l AS (SELECT {} FROM m{})".format(", ".join(f"sqrt({c(i, i)}) / ({size}) AS w{i}" for i in k), squarings))
+    return ",\n".join(out)
+
+
 QUERIES = {"p3_found": p3_found, "p3_ranking": p3_ranking}
-SQL = {"p3_found": _PLACES_SQL + "SELECT query_id, video_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY worst, video_id) AS r FROM w) WHERE r <= 3"}
+SQL = {
+    "p3_found": _PLACES_SQL + f"SELECT query_id, video_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_WORST}, video_id) AS r FROM w) WHERE r <= 3",
+    "p3_ranking": _PLACES_SQL + _component_sql() + " SELECT query_id, video_id, n, {}, {} AS worst, round({}, 5) AS projection FROM u, l".format(", ".join(f"place_{x}" for x in DIRECTIONS), _WORST, " + ".join(f"w{i} * u{i}" for i in range(len(DIRECTIONS)))),
+}
