@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -44,6 +45,32 @@ def tokens(c: Column) -> Column:
 TOKENS_SQL = "list_filter(string_split_regex(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
 
 
+# Spellings of speech recognition and the form that stands for them, as whole words of folded text.
+LONDON = ("luan don", "luan dom", "london")
+SPEECH_FORMS = {"oong": "ung", "aang": "ang", "eeng": "eng", "gi": "di", "gh": "g", "kh": "k", "ngh": "ng", "nh": "n", "ph": "f", "th": "t", "ch": "c"}
+
+
+def speech_tokens(c: Column) -> Column:
+    """Folded words of a transcript, in which each spelling of SPEECH_FORMS and LONDON has one form. Null gives an empty array."""
+    plain = F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    plain = F.regexp_replace(plain, r"\bluan +do[mn]\b", "london")
+    forms = F.create_map(*(F.lit(x) for pair in SPEECH_FORMS.items() for x in pair))
+    words = F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.transform(words, lambda w: F.coalesce(F.element_at(forms, w), w))
+
+
+def speech_words(text: str) -> list[str]:
+    """As ``speech_tokens`` for a query's text."""
+    src, dst = fold_table()
+    low = "".join(c for c in unicodedata.normalize("NFC", text).lower() if unicodedata.category(c) != "Mn").translate(str.maketrans(src, dst))
+    plain = re.sub(r"\bluan +do[mn]\b", "london", re.sub("[^a-z0-9]+", " ", low))
+    return [SPEECH_FORMS.get(w, w) for w in plain.split()]
+
+
+_FORMS_SQL = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPEECH_FORMS.items()) + " ELSE w END"
+SPEECH_SQL = "list_transform(list_filter(string_split(regexp_replace(trim(regexp_replace(" + FOLD_SQL.replace("{0}", "coalesce({0}, '')") + ", '[^a-z0-9]+', ' ', 'g')), '\\bluan +do[mn]\\b', 'london', 'g'), ' '), lambda w: w <> ''), lambda w: " + _FORMS_SQL + ")"
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -10,14 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..skew import grouped_places
+
 PENALTY = 0.005
 #: Decay per normalised step by how the query words it.
 DECAY = {"immediate": 0.05, "then": 0.01, "later": 0.002}
 
 
 def positions(frames: DataFrame) -> DataFrame:
-    """Frames with ``pos``, 0, 1, ... per video in frame order."""
-    return frames.withColumn("pos", F.row_number().over(W.partitionBy("video_id").orderBy("frame_id", "vector_id")) - 1)
+    """Frames with ``pos``, 0, 1, ... per video in frame order; frames without a number come first."""
+    return grouped_places(frames, ["video_id"], "frame_id", ["vector_id"], "pos")
 
 
 def similarities(scored: DataFrame, n_events: int) -> DataFrame:

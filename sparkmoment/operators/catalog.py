@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,16 +66,21 @@ def seconds_to_frame(seconds: Column, fps: Column) -> Column:
     return F.coalesce(F.when(fps > 0, F.bround(F.greatest(seconds, F.lit(0.0)) * fps)), F.lit(0)).cast("bigint")
 
 
-def narrowest_interval(points: DataFrame, intervals: DataFrame, bucket: float = 60.0) -> DataFrame:
+def narrowest_interval(points: DataFrame, intervals: DataFrame, least: float = 1.0) -> DataFrame:
     """(point_id, shot_id): the shortest interval that contains the point; ties by the smaller id.
 
-    Points and intervals meet by video and by stretches of ``bucket`` seconds; an interval is repeated
-    for each stretch that it touches.
+    An interval is filed under its length rounded up to a power of two, in cells of that size: it
+    touches two of them, however long it is. A point looks in its cell of every size there is. Rows
+    with a null, NaN or infinite time or bound, and inverted intervals, take no part.
     """
-    at = lambda c: F.floor(F.col(c) / bucket).cast("bigint")
-    p = points.filter("t is not null and not isnan(t)").select("video_id", "point_id", "t", at("t").alias("b"))
-    i = intervals.filter("s <= e and not isnan(s) and not isnan(e)").select("video_id", "shot_id", "s", "e", F.explode(F.sequence(at("s"), at("e"))).alias("b"))
-    hit = p.join(i, ["video_id", "b"]).filter("s <= t and t <= e")
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("e") - F.col("s"), F.lit(least)) / least))).cast("int")
+    cell = lambda c: F.floor(F.col(c) / (F.lit(least) * F.pow(F.lit(2.0), F.col("size")))).cast("bigint")
+    i = intervals.filter(finite("s") & finite("e") & (F.col("s") <= F.col("e"))).withColumn("size", size)
+    sizes = [r[0] for r in i.select("size").distinct().collect()]  # exponents of a double, some thousand at most
+    i = i.select("video_id", "shot_id", "s", "e", "size", F.explode(F.array_distinct(F.array(cell("s"), cell("e")))).alias("cell"))
+    p = points.filter(finite("t")).select("video_id", "point_id", "t", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).withColumn("cell", cell("t"))
+    hit = p.join(i, ["video_id", "size", "cell"]).filter("s <= t and t <= e")
     return hit.groupBy("point_id").agg(F.min_by("shot_id", F.struct(F.col("e") - F.col("s"), F.col("shot_id"))).alias("shot_id"))
 
 
@@ -103,11 +108,10 @@ def dedup_frames(frames: DataFrame, seconds: float = 0.5, cosine: float = 0.98,
         now = None
         for pdf in parts:
             out = []
-            for *v, i, slot, t, src, x in zip(*(pdf[k] for k in keys), pdf.vector_id, pdf.slot, pdf.timestamp, pdf.source, pdf.vec, strict=True):
+            unit = [np.asarray(x, float) / max(np.linalg.norm(np.asarray(x, float)), 1e-12) for x in pdf.vec]
+            for *v, i, slot, t, src, x in zip(*(pdf[k] for k in keys), pdf.vector_id, pdf.slot, pdf.timestamp, pdf.source, unit, strict=True):
                 if (slot, v) != now:
                     kept, now = [], (slot, v)
-                x = np.asarray(x, float)
-                x = x / max(np.linalg.norm(x), 1e-12)
                 kept = [k for k in kept if t - k[0] <= seconds]
                 own = src == curated
                 if not any(float(k[1] @ x) >= cosine and ((k[2] and protect) or not own) for k in kept):
@@ -142,11 +146,44 @@ def local_peaks(rows: DataFrame, key: str, time: str, value: str, least: float)
     return rows.withColumns({"__b": before, "__a": after}).filter((F.col(value) > least) & (F.col(value) >= F.col("__b")) & (F.col(value) >= F.col("__a"))).drop("__b", "__a")
 
 
-def spaced_peaks(peaks: DataFrame, key: str, time: str, value: str, gap: float, most: int) -> DataFrame:
-    """(key, times): the strongest peaks at least ``gap`` apart, ``most`` of them, sorted by time; a fold over one entity's peaks."""
-    rows = peaks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(time).alias("t")))).alias("rows"))
-    free = lambda a, x: (F.size(a) < most) & F.forall(a, lambda t: F.abs(t - x["t"]) >= gap)
-    return rows.select(key, F.array_sort(F.aggregate("rows", F.array().cast("array<double>"), lambda a, x: F.when(free(a, x), F.concat(a, F.array(x["t"]))).otherwise(a))).alias("times"))
+def spaced(rows: DataFrame, keys: Sequence[str], time: str, value: str, tie: str, gap: float, most: int) -> DataFrame:
+    """(keys..., times): times picked from the highest ``value`` down, each at least ``gap`` from those picked, ``most`` of them, sorted.
+
+    Null values come last, equal ones by time and then ``tie``. A pick depends on those before it, so a
+    group is a sorted stream of which only the picks are held. Rows with a null time take no part.
+    """
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("__v").desc_nulls_last(), F.asc("__t"), F.asc("__i")]
+    picked_of = rows.select(*keys, F.col(time).cast("double").alias("__t"), F.col(value).alias("__v"), F.col(tie).alias("__i")).filter("__t is not null")
+    sorted_rows = picked_of.repartition(*keys).withColumn("__g", F.hash(*keys)).sortWithinPartitions("__g", *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, picked = None, []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            same = pdf[[*keys]].astype(object).where(pdf[[*keys]].notna(), None)
+            ids = list(same.itertuples(index=False, name=None))
+            t = pdf["__t"].to_numpy()
+            edges = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            out, at = [], []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if ids[lo] != now:
+                    now, picked = ids[lo], []
+                free = np.ones(hi - lo, bool)
+                for x in picked:
+                    free &= np.abs(t[lo:hi] - x) >= gap
+                while len(picked) < most and free.any():
+                    i = int(free.argmax())
+                    picked.append(t[lo + i])
+                    at.append(lo + i)
+                    free &= np.abs(t[lo:hi] - t[lo + i]) >= gap
+                    free[i] = False
+            out = pdf.iloc[at][[*keys, "__t"]]
+            yield out
+
+    picks = sorted_rows.drop("__v", "__i", "__g").mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", `__t` double")
+    return picks.groupBy(*keys).agg(F.array_sort(F.collect_list("__t")).alias("times"))  # ``most`` of them
 
 
 def merge_times(base: Column, extra: Column, s: Column, e: Column, gap: float = 0.1) -> Column:

@@ -2,65 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import tokens
+from ..skew import grouped_last, hot_keys
 from ..store import materialize
+from .catalog import spaced
 
 #: Okapi parameters: term saturation, length normalisation, floor of negative idf as a share of the mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: So many terms are named in the filter that the files are read with; it changes what is read, not what is found.
+FEW_TERMS = 200
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read from fewer parts than there are cores, as one small file is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+def term_counts(docs: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, dl, term, tf) of every document; documents without words have no row."""
-    words = docs.select(key, tokens(F.col(text)).alias("words"))
-    return words.select(key, F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    split = spread(docs).select(key, words.alias("words"))
+    return split.select(key, F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def idf_table(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(term, df, idf): ln(N - n + .5) - ln(n + .5); negative ones become max(.25 * mean idf, 1e-9), zero stays.
+@dataclass(frozen=True)
+class Bm25:
+    """An index of texts by their words: built once, searched often.
 
-    ``n_docs`` is one row (n): all documents, those without words included.
+    ``postings`` (term, key, dl, tf) lies sorted by term, so a search reads the stretches of its terms
+    only; a frequent term's stretch is cut by key. ``terms`` has (term, df, idf), ``stats`` is one row
+    (n, avgdl), over all documents, those without words included.
     """
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(n_docs)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n")
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.greatest(F.col("mean") * EPSILON, F.lit(1e-9))).otherwise(F.col("idf")).alias("idf"))
 
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    def save(self, path: str) -> None:
+        self.postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
+        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        self.stats.coalesce(1).write.parquet(f"{path}/stats")  # one row
 
-def vocabulary(docs: DataFrame, text: str) -> DataFrame:
-    """(term, df), and in the row with a null term the number of documents (df) and of words (n_words).
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Bm25:
+        return Bm25(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
 
-    One pass: each document sends its distinct words, counted before they move, and its length.
+    def is_empty(self) -> bool:
+        return self.postings.isEmpty()
+
+
+def bm25_index(docs: DataFrame, key: str, words: Column) -> Bm25:
+    """The index of ``docs`` by ``words``, an array of each document's words, in the shared folder.
+
+    idf is ln(N - n + .5) - ln(n + .5); negative ones become max(.25 * mean idf, 1e-9), zero stays.
     """
-    words = docs.select(tokens(F.col(text)).alias("words"))
-    own = F.struct(F.lit(None).cast("string").alias("term"), F.size("words").cast("bigint").alias("n"))
-    sent = F.concat(F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).cast("bigint").alias("n"))), F.array(own))
-    return words.select(F.explode(sent).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.n").alias("n_words"))
+    counts = term_counts(docs, key, words).withColumnRenamed(key, "key")
+    posts = materialize(counts.repartitionByRange("term", "key").sortWithinPartitions("term", "key"), "postings")
+    lengths = posts.select("key", "dl").distinct().agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    stats = materialize(n.crossJoin(F.broadcast(lengths)).select("n", (F.col("words") / F.nullif("n", F.lit(0))).alias("avgdl")), "stats")  # one row each
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = materialize(df.crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "terms")
+    mean = raw.agg(F.avg("idf").alias("mean"))
+    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, F.greatest(F.col("mean") * EPSILON, F.lit(1e-9))).otherwise(F.col("idf")).alias("idf"))
+    return Bm25(posts, terms, stats)
 
 
-def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:
-    """The k documents with the highest BM25 score above 0 for the query's terms (repeated terms count again); ties by key.
+def bm25_search(index: Bm25, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, key, score, rank): the k documents with the highest BM25 score above 0 for each query's terms.
 
-    The query's terms are counted where the text is read, so of a document only its counts move. What
-    the whole vocabulary is needed for, the floor of negative idf, comes as one row from a second pass.
+    ``queries`` has (query_id, term), one row for every time a term counts. Scores equal to nine decimals
+    (sums come in any order) are ranked by key. A document
+    found by several terms is summed up in parts before it moves, and only k documents a task and
+    query are ranked.
     """
-    vocab = materialize(vocabulary(docs, text), "vocabulary")
-    whole = vocab.filter("term is null").select(F.col("df").alias("n"), (F.col("n_words") / F.nullif("df", F.lit(0))).alias("avgdl"))
-    raw = vocab.filter("term is not null").crossJoin(F.broadcast(whole)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    wanted = sorted(set(terms))
-    pick = [F.max(F.when(F.col("term") == t, F.col("idf"))).alias(f"i{j}") for j, t in enumerate(wanted)]
-    stats = raw.agg(F.avg("idf").alias("mean"), F.max("avgdl").alias("avgdl"), *pick)  # one row
-    floor = F.greatest(F.col("mean") * EPSILON, F.lit(1e-9))
-    counts = docs.select(F.col(key).alias("__key"), tokens(F.col(text)).alias("words"))
-    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
-    counts = counts.filter(F.arrays_overlap("words", F.array(*map(F.lit, wanted)))).select("__key", F.size("words").alias("dl"), *(tf(t).alias(f"t{j}") for j, t in enumerate(wanted)))
-    hits = counts.crossJoin(F.broadcast(stats))
-    score = F.lit(0.0)
-    for j, t in enumerate(wanted):
-        idf = F.when(F.col(f"i{j}") < 0, floor).otherwise(F.coalesce(f"i{j}", F.lit(0.0)))
-        score = score + terms.count(t) * idf * F.col(f"t{j}") * (K1 + 1) / (F.col(f"t{j}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.select(F.col("__key").alias(key), score.alias("score")).filter("score > 0").orderBy(F.desc("score"), key).limit(k)
+    q = queries.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(index.terms.select("term", "idf"), "term").filter("idf <> 0")
+    wanted = q.select("term").distinct()
+    some = wanted.limit(FEW_TERMS + 1).collect()
+    # A few terms are pushed down to the files; many are joined.
+    posts = index.postings.filter(F.col("term").isin([r[0] for r in some])) if len(some) <= FEW_TERMS else index.postings
+    tf, share = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
+    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * share)
+    hits = posts.crossJoin(F.broadcast(index.stats)).join(q, "term").groupBy("query_id", "key").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")  # stats: one row
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def one_query(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(0, t) for t in terms], "query_id bigint, term string")
+
+
+def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:
+    """As ``bm25_search`` for the terms of one query, with an index made for it: (key, score)."""
+    index = bm25_index(docs, key, tokens(F.col(text)))
+    return bm25_search(index, one_query(docs.sparkSession, terms), k).select(F.col("key").alias(key), "score")
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -106,13 +146,40 @@ def interval_scores(candidates: DataFrame, segments: DataFrame, terms: list[str]
     """(vector_id, score): over the video's segments, share of terms times max(.1, exp(-alpha * distance)); outside the margin 0.3 of it.
 
     Inside is start - margin <= t <= end + margin, and the distance is to the middle of the segment.
+
+    Of a video's segments outside, only a few can be a candidate's best: for each of the shares there are
+    (as many as terms), the nearest middle before it and after it. They are handed along the video's
+    sequence of middles and times. Segments inside are met by cells of their own length, as in ``catalog``.
     """
-    s = segments.select("video_id", "start", "end", term_share(F.col("folded"), terms).alias("share")).filter("share > 0")
+    s = segments.select("video_id", "start", "end", term_share(F.col("folded"), terms).alias("share"), ((F.col("start") + F.col("end")) / 2).alias("mid")).filter("share > 0")
+    s = materialize(s, "said")
     t = F.col("timestamp")
-    inside = (t >= F.col("start") - margin) & (t <= F.col("end") + margin)
-    near = F.greatest(F.lit(0.1), F.exp(-alpha * F.abs(t - (F.col("start") + F.col("end")) / 2)))
-    value = F.col("share") * near * F.when(inside, 1.0).otherwise(0.3)
-    return candidates.join(s, "video_id").groupBy("vector_id").agg(F.max(value).alias("score"))
+    near = lambda d: F.when(d.isNotNull(), F.greatest(F.lit(0.1), F.exp(-alpha * d)))
+
+    # Outside (and, at 0.3 of their worth, inside): nearest middles of each share on either side.
+    levels = sorted(r[0] for r in s.select("share").distinct().collect())  # at most as many as terms
+    seq = candidates.select("video_id", t.alias("at"), "vector_id", *(F.lit(None).cast("double").alias(f"m{i}") for i in range(len(levels))))
+    mids = s.groupBy("video_id", "mid").agg(*(F.max(F.when(F.col("share") == x, F.col("mid"))).alias(f"m{i}") for i, x in enumerate(levels)))
+    seq = materialize(seq.unionByName(mids.select("video_id", F.col("mid").alias("at"), F.lit(None).cast(candidates.schema["vector_id"].dataType).alias("vector_id"), *(f"m{i}" for i in range(len(levels))))), "sequence")
+    hot = hot_keys(seq, ["video_id"])
+    for i in range(len(levels)):
+        seq = grouped_last(seq, ["video_id"], "at", ["vector_id"], f"m{i}", f"b{i}", hot)
+    seq = seq.withColumn("back", -F.col("at"))
+    for i in range(len(levels)):
+        seq = grouped_last(seq, ["video_id"], "back", ["vector_id"], f"m{i}", f"a{i}", hot)
+    worth = [x * near(F.abs(F.col("at") - F.col(f"{side}{i}"))) for i, x in enumerate(levels) for side in "ba"]
+    outside = seq.filter("vector_id is not null").select("vector_id", (0.3 * F.greatest(*worth)).alias("score")) if len(worth) > 1 else None
+
+    # Inside the margin.
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("end") - F.col("start") + 2 * margin, F.lit(1.0))))).cast("int")
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("size"))).cast("bigint")
+    i = s.filter(F.col("start") - margin <= F.col("end") + margin).withColumn("size", size)
+    sizes = [r[0] for r in i.select("size").distinct().collect()]  # exponents of a double
+    i = i.select("video_id", "start", "end", "mid", "share", "size", F.explode(F.array_distinct(F.array(cell(F.col("start") - margin), cell(F.col("end") + margin)))).alias("cell"))
+    p = candidates.select("video_id", "vector_id", "timestamp", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).withColumn("cell", cell(t))
+    inside = p.join(i, ["video_id", "size", "cell"]).filter((t >= F.col("start") - margin) & (t <= F.col("end") + margin)).select("vector_id", (F.col("share") * near(F.abs(t - F.col("mid")))).alias("score"))
+    rows = inside if outside is None else outside.filter("score is not null").unionByName(inside)
+    return rows.groupBy("vector_id").agg(F.max("score").alias("score"))
 
 
 def evidence(matches: DataFrame, sigma: float = 30.0) -> DataFrame:
@@ -144,14 +211,8 @@ def video_scores(evid: DataFrame, coverage: Column, signals: Column) -> DataFram
 
 
 def diverse_times(matches: DataFrame, most: int = 10, gap: float = 5.0) -> DataFrame:
-    """(query_id, video_id, times): start times picked from the best score down, each at least ``gap`` from those picked, sorted.
-
-    The pick depends on its own past, so it is a fold over a video's matches for one query.
-    """
-    rows = matches.filter("start is not null").groupBy("query_id", "video_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("bm25_score")).alias("s"), F.col("start").alias("t"), "match_id"))).alias("rows"))
-    free = lambda a, x: (F.size(a) < most) & F.forall(a, lambda t: F.abs(t - x["t"]) >= gap)
-    picked = F.aggregate("rows", F.array().cast("array<double>"), lambda a, x: F.when(free(a, x), F.concat(a, F.array(x["t"]))).otherwise(a))
-    return rows.select("query_id", "video_id", F.array_sort(picked).alias("times"))
+    """(query_id, video_id, times): start times picked from the best score down, each at least ``gap`` from those picked, sorted."""
+    return spaced(matches, ["query_id", "video_id"], "start", "bm25_score", "match_id", gap, most)
 
 
 def feedback_terms(hits: DataFrame, text: str, stop: list[str], most: int = 3) -> DataFrame:

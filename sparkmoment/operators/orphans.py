@@ -71,14 +71,15 @@ def _depth(references: Sequence[Reference]) -> int | None:
     return None
 
 
-def orphan_cascade(entities: Mapping[str, Entity], references: Sequence[Reference], max_rounds: int = 1000) -> DataFrame:
+def orphan_cascade(entities: Mapping[str, Entity], references: Sequence[Reference]) -> DataFrame:
     """Direct and inherited orphans of a foreign-key graph.
 
     Returns (ref, child_id, kind, depth, period): depth 0 for a reference that fails itself, k > 0
     with kind ``inherited`` for a row first reached in round k because the row it refers to is an
     orphan. Each round semi-joins the children of the last round's new orphans, less those already
     known. An acyclic graph needs as many rounds as its longest path and stays one lazy plan; with a
-    cycle each round's orphans are written to the shared folder and the loop ends when none is new.
+    cycle each round's orphans are written to the shared folder and the loop ends when none is new,
+    which it must, for every round adds rows to the known ones.
 
     Empty tables give no rows; repeated rows keep their own ids; period is ``yyyy-MM`` of the own
     time, null with it. Extra columns of the tables are never read.
@@ -94,7 +95,9 @@ def orphan_cascade(entities: Mapping[str, Entity], references: Sequence[Referenc
         fresh[r.child] = fresh[r.child].union(ids) if r.child in fresh else ids
     fresh = {t: d.distinct() for t, d in fresh.items()}
     known = dict(fresh)
-    for k in range(1, (max_rounds if cyclic else rounds) + 1):
+    k = 0
+    while cyclic or k < rounds:
+        k += 1
         reached: dict[str, DataFrame] = {}
         for r in references:
             p, c = entities[r.parent], entities[r.child]

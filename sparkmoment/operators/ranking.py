@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..skew import grouped_cumsum, grouped_previous, hot_keys
+from ..skew import grouped_cumsum, grouped_last, grouped_previous, hot_keys, salted_join
+from ..store import materialize
 
 EPSILON = 1e-9
 RRF_K = 60
@@ -62,14 +63,24 @@ def dynamic_k(longest: int) -> int:
 
 
 def minmax(x: Column, w: W, flat: float = 1.0) -> Column:
-    """(x - min) / (max - min) within the window; ``flat`` where all are equal."""
-    lo, hi = F.min(x).over(w), F.max(x).over(w)
+    """(x - min) / (max - min) within the window, for groups that a search has bounded; ``flat`` where all are equal."""
+    return scaled(x, F.min(x).over(w), F.max(x).over(w), flat)
+
+
+def scaled(x: Column, lo: Column, hi: Column, flat: float = 1.0) -> Column:
     return F.when(hi - lo < EPSILON, F.lit(flat)).otherwise((x - lo) / (hi - lo))
 
 
-def maxdiv(x: Column, w: W) -> Column:
-    hi = F.max(x).over(w)
-    return F.when(hi < EPSILON, F.lit(0.0)).otherwise(x / hi)
+def by_extent(df: DataFrame, keys: list[str], x: str, out: str, flat: float = 1.0) -> DataFrame:
+    """``df`` with ``out``, x min-max scaled within its group. Bounds are aggregated before anything moves, so groups of any size do."""
+    ends = df.groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    return salted_join(df, ends, keys, "inner", [x]).withColumn(out, scaled(F.col(x), F.col("__lo"), F.col("__hi"), flat)).drop("__lo", "__hi")
+
+
+def by_highest(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
+    """``df`` with ``out``, x over the highest of its group; 0 where that isn't positive."""
+    ends = df.groupBy(*keys).agg(F.max(x).alias("__hi"))
+    return salted_join(df, ends, keys, "inner", [x]).withColumn(out, F.when(F.col("__hi") < EPSILON, F.lit(0.0)).otherwise(F.col(x) / F.col("__hi"))).drop("__hi")
 
 
 def sigmoid(x: Column, temperature: float = 1.0) -> Column:
@@ -86,7 +97,8 @@ def by_percentile(df: DataFrame, keys: list[str], x: str, out: str, p: float = 9
 def modality_fusion(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(id, score): per-modality min-max, weighted, over the sum of the weights of the modalities that have rows."""
     w = reduce(lambda c, m: c.when(F.col("modality") == m, F.lit(float(weights[m]))), list(weights)[1:], F.when(F.col("modality") == next(iter(weights)), F.lit(float(next(iter(weights.values()))))))
-    rows = scores.withColumn("w", w).filter("w > 0").withColumn("s", minmax(F.col("score"), W.partitionBy("modality")))
+    rows = scores.withColumn("w", w).filter("w > 0")
+    rows = by_extent(rows, ["modality"], "score", "s")
     active = rows.select("modality", "w").distinct().agg(F.sum("w").alias("total"))
     return rows.groupBy("id").agg(F.sum(F.col("w") * F.col("s")).alias("s")).crossJoin(F.broadcast(active)).select("id", (F.col("s") / F.col("total")).alias("score"))
 
@@ -137,20 +149,20 @@ def moments(candidates: DataFrame, gap: float = 3.0, aggregation: str = "max", m
 def moments_with_shots(candidates: DataFrame, gap: float = 3.0) -> DataFrame:
     """(video_id, moment, start, end, n, score): as ``moments``, and a row of the same shot as its moment's first row stays in it.
 
-    The moment's shot is state carried along, so a fold over the video's rows in time does it; a
-    video's candidates are what one query returned.
+    Within a session every row stays. A session's first row stays in the moment before it if their
+    shots agree, and then the session's shot is the moment's; so the moment's shot is always that of
+    its last session, and sessions need only be compared with the ones before them.
     """
-    rows = candidates.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "vector_id", "shot_id", "score"))).alias("rows"))
-    start = F.struct(F.lit(-1).alias("no"), F.lit(None).cast("double").alias("last"), F.lit(None).cast("bigint").alias("shot"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        stays = F.coalesce((a["shot"] == x["shot_id"]) | (x["timestamp"] - a["last"] <= gap), F.lit(False))
-        no = F.when(stays, a["no"]).otherwise(a["no"] + 1)
-        return F.struct(no.alias("no"), x["timestamp"].alias("last"), F.when(stays, a["shot"]).otherwise(x["shot_id"]).alias("shot"), F.concat(a["out"], F.array(no)).alias("out"))
-
-    numbered = rows.select("video_id", "rows", F.aggregate("rows", start, step, lambda a: a["out"]).alias("nos"))
-    flat = numbered.select("video_id", F.explode(F.arrays_zip("rows", "nos")).alias("x")).select("video_id", F.col("x.nos").alias("moment"), "x.rows.*")
-    return flat.groupBy("video_id", "moment").agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+    rows = islands(candidates, ["video_id"], "timestamp", gap)
+    first = F.min_by(F.col("shot_id"), F.struct("timestamp", "vector_id"))
+    sessions = rows.groupBy("video_id", "island").agg(first.alias("shot"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+    sessions = materialize(sessions, "sessions")
+    hot = hot_keys(sessions, ["video_id"])
+    wrapped = sessions.withColumn("__own", F.struct("shot"))  # never null, so that a session without a shot is seen too
+    before = grouped_last(wrapped, ["video_id"], "island", (), "__own", "__before", hot, own=False)
+    new = F.when(F.col("__before").isNull() | F.coalesce(F.col("__before.shot") != F.col("shot"), F.lit(True)), 1).otherwise(0)
+    numbered = grouped_cumsum(before.withColumn("__new", new), ["video_id"], "island", F.col("__new"), "moment", hot)
+    return numbered.groupBy("video_id", (F.col("moment") - 1).alias("moment")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.max("score").alias("score"))
 
 
 def best_per(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..skew import grouped_last
+from ..store import materialize
 from .ranking import minmax
 
 #: Weights of the linear ranker for its six features.
@@ -63,13 +65,16 @@ def order_share(rows: DataFrame, keys: list[str], first: str, second: str) -> Da
 def forward_frames(targets: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., target, frame_id): the first frame at or after each target time; targets after the last frame are left out.
 
-    Both sides are one sequence per video in which each target looks ahead to the next frame.
+    Both sides are one sequence per video, backwards in time, in which each target looks back at the last
+    frame. A hot video is worked on in parts. Rows with a null time take no part.
     """
     t = targets.select(*keys, F.col("t"), F.col("target"), F.lit(None).cast("bigint").alias("frame_id"))
     f = frames.select(*keys, F.col("t"), F.lit(None).cast("bigint").alias("target"), F.col("frame_id"))
-    # At equal times the target comes before the frame, so that it sees it.
-    w = W.partitionBy(*keys).orderBy("t", F.asc_nulls_first("frame_id")).rowsBetween(W.currentRow, W.unboundedFollowing)
-    return t.unionByName(f).withColumn("next", F.first("frame_id", ignorenulls=True).over(w)).filter("target is not null and next is not null").select(*keys, "target", F.col("next").alias("frame_id"))
+    # At equal times the frames come before the target, the first of them last, so that it is seen.
+    both = t.unionByName(f).filter("t is not null").withColumns({"back": -F.col("t"), "kind": F.col("target").isNotNull().cast("int"), "against": -F.col("frame_id")})
+    both = materialize(both, "sequence")
+    seen = grouped_last(both, keys, "back", ["kind", "against"], "frame_id", "next")
+    return seen.filter("target is not null and next is not null").select(*keys, "target", F.col("next").alias("frame_id"))
 
 
 def request_key(*parts: Column) -> Column:

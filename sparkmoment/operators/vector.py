@@ -1,38 +1,45 @@
 """Cosine search and pooling of frame vectors.
 
-Queries are few rows by nature (a user's query and its variants) and are sent to the vectors; what
-the caller gives as queries is checked against MAX_QUERIES, beyond which they are joined in portions
-by Spark's own choice. Similarities are computed where the vectors lie, so a search moves k rows per
-task only.
+Queries are few rows by nature (a user's query and its variants) and are sent to the vectors, once they
+are counted; more of them meet the vectors in a grid of blocks. Similarities are computed where the
+vectors lie, so a search moves k rows per task and query only.
 """
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.vectors import cosine, dot, norm, normalize
+from ..skew import grouped_places, salted_join
 
-#: Queries that may be sent to every task at once.
-MAX_QUERIES = 10_000
+#: Queries of a block; as many may be sent to every task at once.
+QUERY_BLOCK = 10_000
+#: Parts of the vectors that meet each block of queries in a task of their own.
+GRID = 64
 
 
-def few(df: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
-    """``df`` marked to be broadcast if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def scored(frames: DataFrame, queries: DataFrame) -> DataFrame:
+def scored(frames: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """Frames with (query_id, score): cosine to each query vector ``qvec``, grouped by nothing else.
 
-    Norms are taken once per vector, not per pair.
+    Norms are taken once per vector, not per pair. Up to ``block`` queries are broadcast. More are cut
+    into blocks, each of which meets each of GRID parts of the frames in one task: queries are then
+    repeated GRID times and frames once per block. Rows whose query has no id are left out.
     """
-    q = few(queries.select("query_id", normalize(F.col("qvec")).alias("qvec")))
+    q = queries.select("query_id", normalize(F.col("qvec")).alias("qvec")).filter("query_id is not null")
     f = frames.withColumn("vec", normalize(F.col("vec")))
-    return f.crossJoin(q).withColumn("score", dot(F.col("vec"), F.col("qvec"))).drop("qvec")
+    n = q.count()
+    if n <= block:
+        pairs = f.crossJoin(F.broadcast(q))
+    else:
+        blocks = -(-n // block)
+        q = q.withColumns({"__b": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "__p": F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))})
+        f = f.withColumns({"__p": F.pmod(F.xxhash64("vector_id"), F.lit(GRID)).cast("int"), "__b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        pairs = f.join(q, ["__b", "__p"]).drop("__b", "__p")
+    return pairs.withColumn("score", dot(F.col("vec"), F.col("qvec"))).drop("qvec")
 
 
 def knn(frames: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -53,16 +60,53 @@ def knn_one(frames: DataFrame, qvec: list[float], k: int) -> DataFrame:
     return hits.orderBy(F.desc("score"), "vector_id").limit(k)
 
 
-def mean_pool(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean vector per key, scaled to unit length: (keys..., vec). Components are averaged with partial aggregates."""
-    parts = frames.select(*keys, F.posexplode("vec").alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select(*keys, normalize(F.transform("v", lambda s: s["x"])).alias("vec"))
+def _summed(parts: Iterator[pd.DataFrame], keys: list[str], largest: bool, whole: bool) -> Iterator[pd.DataFrame]:
+    """Rows (keys..., total, weight) summed by key (or the componentwise maximum) within each batch; with
+    ``whole``, rows come sorted by key and a key that goes on in the next batch is held back."""
+    held = None
+    for pdf in parts:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        held = None
+        size = pdf.total.str.len()
+        for dim in sorted(size.dropna().unique()):
+            one = pdf[size == dim]
+            code, first = one.groupby([*keys], dropna=False, sort=False).ngroup().to_numpy(), ~one.duplicated(keys).to_numpy()
+            x = np.stack(one.total.to_numpy()).astype(float)
+            total = np.full((int(first.sum()), int(dim)), -np.inf if largest else 0.0)
+            (np.maximum if largest else np.add).at(total, code, x)
+            out = one[first][keys].assign(total=list(total), weight=np.bincount(code, one.weight.to_numpy()))
+            if whole and len(out):
+                held = out.iloc[-1:] if held is None else pd.concat([held, out.iloc[-1:]])
+                out = out.iloc[:-1]
+            yield out
+    if held is not None:
+        yield held
+
+
+def _pooled(frames: DataFrame, keys: list[str], weight: Column, largest: bool = False) -> DataFrame:
+    """(keys..., total, weight): weighted sum (or maximum) of the vectors and sum of the weights per key.
+
+    Vectors are summed within each task's batches before they move, one row per key and batch.
+    """
+    vec = F.transform("vec", lambda x: x.cast("double"))
+    rows = frames.filter("vec is not null").select(*keys, (vec if largest else F.transform(vec, lambda x: x * weight)).alias("total"), weight.cast("double").alias("weight"))
+    schema = rows.schema
+    some = rows.mapInPandas(lambda parts: _summed(parts, keys, largest, False), schema)
+    return some.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda parts: _summed(parts, keys, largest, True), schema)
+
+
+def mean_pool(frames: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+    """(Weighted) mean vector per key, scaled to unit length: (keys..., vec).
+
+    Null vectors are left out; a key with vectors of several lengths has a row for each.
+    """
+    p = _pooled(frames, keys, F.lit(1.0) if weight is None else weight)
+    return p.select(*keys, normalize(F.transform("total", lambda x: x / F.col("weight"))).alias("vec"))
 
 
 def max_pool(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Componentwise maximum per key, scaled to unit length."""
-    parts = frames.select(*keys, F.posexplode("vec").alias("pos", "x")).groupBy(*keys, "pos").agg(F.max(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select(*keys, normalize(F.transform("v", lambda s: s["x"])).alias("vec"))
+    return _pooled(frames, keys, F.lit(1.0), True).select(*keys, normalize(F.col("total")).alias("vec"))
 
 
 def near_mean_pool(frames: DataFrame, keys: list[str], share: float | None) -> DataFrame:
@@ -70,17 +114,13 @@ def near_mean_pool(frames: DataFrame, keys: list[str], share: float | None) -> D
 
     The closest max(1, bround(n * share)) count; distances below 1e-6 weigh as 1e-6. Ties by vector_id.
     """
-    mean = frames.select(*keys, F.posexplode("vec").alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    mean = mean.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select(*keys, F.transform("v", lambda s: s["x"]).alias("mean"))
+    mean = _pooled(frames, keys, F.lit(1.0)).select(*keys, F.transform("total", lambda x: x / F.col("weight")).alias("mean"), F.col("weight").alias("n"))
     d = F.sqrt(F.aggregate(F.zip_with("vec", "mean", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    rows = frames.join(mean, keys).withColumn("d", d).drop("mean")
+    rows = salted_join(frames, mean, keys, "inner", ["vector_id"]).filter(F.size("vec") == F.size("mean")).withColumn("d", d).drop("mean")
     if share is not None:
-        n = F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(W.partitionBy(*keys)) * share))
-        rows = rows.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("d", "vector_id"))).withColumn("n", n).filter(F.col("r") <= F.col("n"))
-        return mean_pool(rows, keys)
-    rows = rows.withColumn("w", 1 / F.greatest("d", F.lit(1e-6)))
-    parts = rows.select(*keys, "w", F.posexplode("vec").alias("pos", "x")).groupBy(*keys, "pos").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
-    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select(*keys, normalize(F.transform("v", lambda s: s["x"])).alias("vec"))
+        place = F.row_number().over(W.partitionBy(*keys).orderBy("d", "vector_id"))
+        return mean_pool(rows.withColumn("r", place).filter(F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * share))), keys)
+    return mean_pool(rows, keys, 1 / F.greatest("d", F.lit(1e-6)))
 
 
 def tiles(frames: DataFrame, n: int, overlap: int = 0) -> DataFrame:
@@ -88,9 +128,8 @@ def tiles(frames: DataFrame, n: int, overlap: int = 0) -> DataFrame:
 
     Tiles start every n - overlap frames; a video's last tile is the first that reaches its end.
     """
-    w = W.partitionBy("video_id").orderBy("frame_id", "vector_id")
-    pos = F.row_number().over(w) - 1
-    rows = frames.withColumn("pos", pos).withColumn("total", F.count(F.lit(1)).over(W.partitionBy("video_id")))
+    total = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("total"))
+    rows = salted_join(grouped_places(frames, ["video_id"], "frame_id", ["vector_id"], "pos"), total, ["video_id"], "inner", ["vector_id"])
     step = n - overlap
     last = F.greatest(F.lit(0), F.ceil((F.col("total") - n) / F.lit(step))).cast("int")
     lo = F.greatest(F.lit(0), F.ceil((F.col("pos") - (n - 1)) / F.lit(step))).cast("int")
@@ -111,97 +150,5 @@ def vector_checks(frames: DataFrame) -> DataFrame:
     )
 
 
-def cells(frames: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """Frames with the number of their nearest centre (coarse cell of an inverted file); centres are a bounded list."""
-    c = F.array(*(F.struct(F.lit(i).alias("cell"), F.array(*(F.lit(float(x)) for x in v)).alias("v")) for i, v in enumerate(centres)))
-    near = F.array_sort(F.transform(c, lambda s: F.struct((-cosine(F.col("vec"), s["v"])).alias("far"), s["cell"].alias("cell"))))
-    return frames.withColumn("cell", F.element_at(near, 1)["cell"])
-
-
-#: Vectors the centres of an inverted file are fitted on, centres at most, queries that its recall is measured with.
-FIT_ROWS, MOST_CENTRES, RECALL_QUERIES = 20_000, 1024, 200
-
-
-def _sample(df: DataFrame, key: str, vec: str, n: int) -> tuple[list, np.ndarray]:
-    """Ids and unit vectors of at most n rows, by hash of the id, so that a retry takes the same."""
-    got = df.select(key, normalize(F.col(vec)).alias("v")).orderBy(F.xxhash64(key), key).limit(n).collect()
-    return [r[0] for r in got], np.array([r["v"] for r in got], float)
-
-
-def fit_centres(frames: DataFrame) -> np.ndarray:
-    """Unit centres of an inverted file: sqrt(rows) of them, MOST_CENTRES at most, by eight rounds of k-means on FIT_ROWS vectors."""
-    n = min(ceil(sqrt(frames.count())), MOST_CENTRES)
-    _, v = _sample(frames, "vector_id", "vec", FIT_ROWS)
-    c = v[:n]
-    for _ in range(8):
-        near = (v @ c.T).argmax(1)
-        total = np.zeros_like(c)
-        np.add.at(total, near, v)
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        c = np.where(size > 1e-12, total / np.maximum(size, 1e-12), c)
-    return c
-
-
-def filed(frames: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(vector_id, video_id, vec, cell): every vector, at unit length, with the number of its nearest centre."""
-
-    def run(parts):
-        for pdf in parts:
-            v = np.stack(pdf.vec.to_numpy()).astype(float) if len(pdf) else np.empty((0, centres.shape[1]))
-            yield pdf.assign(cell=(v @ centres.T).argmax(1).astype("int32"))
-
-    rows = frames.select("vector_id", "video_id", normalize(F.col("vec")).alias("vec"))
-    return rows.mapInPandas(run, "vector_id bigint, video_id string, vec array<double>, cell int")
-
-
-def probes_for(rows: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
-    """Fewest cells to probe for the recall at k, measured against brute force with at most RECALL_QUERIES of the queries."""
-    ids, q = _sample(queries, "query_id", "qvec", RECALL_QUERIES)
-    place = (-(q @ centres.T)).argsort(1, kind="stable").argsort(1, kind="stable")  # of each cell in a query's order
-
-    def run(parts):
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            v, i, cell = np.stack(pdf.vec.to_numpy()).astype(float), pdf.vector_id.to_numpy(), pdf.cell.to_numpy()
-            for n, s in enumerate(q @ v.T):
-                best = np.lexsort((i, -s))[:k]
-                yield pd.DataFrame({"n": n, "vector_id": i[best], "score": s[best], "place": place[n, cell[best]]})
-
-    hits = rows.mapInPandas(run, "n bigint, vector_id bigint, score double, place bigint")
-    w = W.partitionBy("n").orderBy(F.desc("score"), "vector_id")
-    places = hits.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).groupBy("place").count().orderBy("place").collect()
-    found, total = 0, sum(r["count"] for r in places)
-    for r in places:
-        found += r["count"]
-        if found >= recall * total:
-            return r["place"] + 1
-    return len(centres)
-
-
-def ivf(frames: DataFrame, queries: DataFrame, k: int, recall: float = 0.92) -> DataFrame:
-    """As ``knn``, approximately: exact cosine within each query's nearest cells of an inverted file.
-
-    As many cells are probed as the recall takes on a sample of the queries; it is aimed a little above
-    the 0.9 that all of them are to reach.
-    """
-    centres = fit_centres(frames)
-    rows = filed(frames, centres)
-    n = probes_for(rows, queries, centres, k, recall)
-
-    def near(parts):
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            q = np.stack(pdf.qvec.to_numpy()).astype(float)
-            cells = (-(q @ centres.T)).argsort(1, kind="stable")[:, :n].astype("int32")
-            yield pdf.assign(cell=list(cells)).explode("cell").astype({"cell": "int32"})
-
-    probed = queries.select("query_id", normalize(F.col("qvec")).alias("qvec")).mapInPandas(near, "query_id bigint, qvec array<double>, cell int")
-    hits = rows.join(probed, "cell").select("query_id", "vector_id", "video_id", dot(F.col("vec"), F.col("qvec")).alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def exact(score: Column) -> Column:
     return F.round(score, 6)

@@ -8,7 +8,9 @@ from ..functions.keys import VIDEO_KEY_SQL, video_key
 from ..functions.text import NORMALIZE_SQL, normalize_answer
 from ..operators import align as A, catalog as C, evaluate as E, objects as O, ranking as R, vector as V
 from ..tables import table
-from .search import _CA, _FR, candidates, frames, queries_of
+from .search import _CA, _FR as _FR0, candidates, events_of, frames
+
+_FR = _FR0.rstrip() + ",\nhit AS (SELECT q.vector_id AS query_id, f.vector_id, f.video_id, list_dot_product(f.vec, q.vec) AS score FROM f, f AS q WHERE q.vector_id IN (0, 1, 2))\n"
 
 QUERIES, SQL = {}, {}
 
@@ -26,7 +28,7 @@ def query(sql: str | None = None):
 # --- alignment ----------------------------------------------------------------------------------
 def _sim(s, d):
     f = A.positions(frames(s, d))
-    scored = V.scored(f, queries_of(s, d, 0, 1, 2)).select("video_id", "pos", F.col("query_id").alias("event"), "score")
+    scored = V.scored(f, events_of(s, d)).select("video_id", "pos", F.col("query_id").alias("event"), "score")
     return A.similarities(scored, 3)
 
 
@@ -136,16 +138,6 @@ def label_thresholds(s, d):
 
 
 # --- catalog ------------------------------------------------------------------------------------
-@query("""WITH a AS (SELECT vector_id, source, ocr_done FROM frames WHERE vector_id % 3 <> 0), b AS (SELECT vector_id, model_version AS source, ocr_done FROM frames WHERE vector_id % 2 = 0)
-SELECT coalesce(a.vector_id, b.vector_id) AS vector_id, coalesce(b.source, a.source) AS source, coalesce(a.ocr_done, b.ocr_done) AS ocr_done FROM a FULL JOIN b USING (vector_id)""")
-def catalog_upsert(s, d):
-    """A newer batch over an older one; its sources win, flags are kept."""
-    f = table(s, d, "frames")
-    old = f.filter("vector_id % 3 <> 0").select("vector_id", "source", "ocr_done")
-    new = f.filter("vector_id % 2 = 0").select("vector_id", F.col("model_version").alias("source"), "ocr_done")
-    return C.upsert(old, new, ["vector_id"], ["source"], ["ocr_done"])
-
-
 _BATCH = f"""WITH c AS (SELECT (min(epoch_us(ingested_at)) + max(epoch_us(ingested_at))) // 2 AS cut FROM frames),
 f AS (SELECT {_K} AS video_id, frame_id, vector_id, source, ocr_done, coalesce(epoch_us(ingested_at) > cut, false) AS late, ingested_at FROM frames, c),
 l AS (SELECT *, row_number() OVER (PARTITION BY late, video_id, frame_id ORDER BY ingested_at DESC NULLS LAST, vector_id) AS r FROM f), a AS (SELECT * FROM l WHERE r = 1 AND NOT late), b AS (SELECT * FROM l WHERE r = 1 AND late)
@@ -247,7 +239,14 @@ def frames_in_window(s, d):
     return C.frames_in_window(f, "L0000_V000", 100.0, 60.0).select("vector_id", F.round("away", 6).alias("away"))
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT vector_id, embedding_version AS version, CAST(vec AS DOUBLE[]) AS v0 FROM manifest_siglip2 JOIN siglip2_meta USING (embedding_version) WHERE len(vec) = embedding_dim AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+f AS (SELECT v.vector_id, version, {_K} AS video_id, "timestamp" AS t, coalesce(source = 'btc', false) AS own, list_transform(v0, lambda x: x / greatest(sqrt(list_dot_product(v0, v0)), 1e-12)) AS u FROM frames JOIN v USING (vector_id) WHERE "timestamp" IS NOT NULL AND NOT isnan("timestamp")),
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY version, video_id ORDER BY t, vector_id) AS i FROM f),
+k AS (SELECT version, video_id, i, vector_id, true AS stays, [{{'t': t, 'u': u, 'own': own}}] AS kept FROM m WHERE i = 1 UNION ALL
+  SELECT version, video_id, i, vector_id, stays, CASE WHEN stays THEN list_append(near, {{'t': t, 'u': u, 'own': own}}) ELSE near END
+  FROM (SELECT *, len(list_filter(near, lambda x: list_dot_product(x.u, u) >= 0.98 AND (x.own OR NOT own))) = 0 AS stays
+    FROM (SELECT m.*, list_filter(k.kept, lambda x: m.t - x.t <= 0.5) AS near FROM k JOIN m ON m.version = k.version AND m.video_id IS NOT DISTINCT FROM k.video_id AND m.i = k.i + 1)))
+SELECT video_id, vector_id FROM k WHERE stays""")
 def frame_dedup(s, d):
     """Near-duplicate frames of ``manifest_siglip2`` dropped per version and video in time order; vectors have their version's size."""
     dim = table(s, d, "siglip2_meta").select("embedding_version", "embedding_dim")  # a row per version
@@ -276,10 +275,14 @@ def motion_peaks(s, d):
     return C.local_peaks(candidates(s, d), "video_id", "timestamp", "score", 35.0).select("vector_id")
 
 
-@query()
+@query(_CA.replace("WITH", "WITH RECURSIVE", 1) + """, n AS (SELECT *, lag(score) OVER w AS p, lead(score) OVER w AS q FROM c WINDOW w AS (PARTITION BY video_id ORDER BY timestamp, vector_id)),
+m AS (SELECT video_id, timestamp AS t, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, timestamp, vector_id) AS i FROM n WHERE score > 35 AND score >= p AND score >= q),
+k AS (SELECT video_id, i, [t] AS picked FROM m WHERE i = 1 UNION ALL
+  SELECT m.video_id, m.i, CASE WHEN len(picked) < 30 AND len(list_filter(picked, lambda x: abs(x - m.t) < 86400)) = 0 THEN list_append(picked, m.t) ELSE picked END FROM k JOIN m ON m.video_id = k.video_id AND m.i = k.i + 1)
+SELECT video_id, CAST(len(arg_max(picked, i)) AS BIGINT) AS n, round(list_min(arg_max(picked, i)), 3) AS first FROM k GROUP BY 1""")
 def motion_peaks_spaced(s, d):
     p = C.local_peaks(candidates(s, d), "video_id", "timestamp", "score", 35.0)
-    return C.spaced_peaks(p, "video_id", "timestamp", "score", 86400.0, 30).select("video_id", F.size("times").cast("bigint").alias("n"), F.round(F.element_at(F.concat("times", F.array(F.lit(None).cast("double"))), 1), 3).alias("first"))
+    return C.spaced(p, ["video_id"], "timestamp", "score", "vector_id", 86400.0, 30).select("video_id", F.size("times").cast("bigint").alias("n"), F.round(F.element_at("times", 1), 3).alias("first"))
 
 
 @query("SELECT embedding_version, count(*) AS n, count(*) FILTER (len(vec) IS DISTINCT FROM embedding_dim) AS n_wrong_dim, count(*) FILTER (vector_id NOT IN (SELECT vector_id FROM frames)) AS n_no_frame FROM manifest_siglip2 LEFT JOIN siglip2_meta USING (embedding_version) GROUP BY 1")
@@ -295,12 +298,12 @@ def validate_vectors(s, d):
 # --- evaluation ---------------------------------------------------------------------------------
 _RK = f"""WITH m AS (SELECT query_id, {_K} AS video_id, frame, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC NULLS LAST, match_id) AS rank FROM segment_matches),
 g AS (SELECT kis_id, {VIDEO_KEY_SQL.format('gt_video_id')} AS gv, gt_frame_id FROM kis_dev),
-r AS (SELECT query_id, rank, CASE WHEN coalesce(video_id = gv AND (gt_frame_id IS NULL OR abs(frame - gt_frame_id) <= 50000), false) THEN 1::DOUBLE ELSE 0::DOUBLE END AS relevance FROM m JOIN g ON g.kis_id = m.query_id WHERE rank <= 100)
+r AS (SELECT query_id, rank, CASE WHEN coalesce(video_id = gv AND (gt_frame_id IS NULL OR abs(frame - gt_frame_id) <= 50), false) THEN 1::DOUBLE ELSE 0::DOUBLE END AS relevance FROM m JOIN g ON g.kis_id = m.query_id WHERE rank <= 100)
 """
 
 
-def _judged(s, d, tolerance: int = 50_000):
-    """Matches ranked per query beside the dev set's truth, by default with a wide tolerance."""
+def _judged(s, d, tolerance: int = 50):
+    """Matches ranked per query beside the dev set's truth, as the evaluation does."""
     w = W.partitionBy("query_id").orderBy(F.desc_nulls_last("bm25_score"), "match_id")
     m = table(s, d, "segment_matches").select("query_id", video_key("video_id").alias("video_id"), "frame", F.row_number().over(w).alias("rank")).filter("rank <= 100")
     g = table(s, d, "kis_dev").select(F.col("kis_id").alias("query_id"), video_key("gt_video_id").alias("gv"), "gt_frame_id")
@@ -308,29 +311,18 @@ def _judged(s, d, tolerance: int = 50_000):
     return m.join(g, "query_id").select("query_id", "rank", F.when(hit, 1.0).otherwise(0.0).alias("relevance"))
 
 
-@query(_RK + "SELECT query_id, " + ", ".join(f"max(CASE WHEN rank <= {k} THEN relevance ELSE 0 END) AS r{k}" for k in E.CUTOFFS) + ", round((" + " + ".join(f"max(CASE WHEN rank <= {k} THEN relevance ELSE 0 END)" for k in E.CUTOFFS) + ") / 5, 6) AS final FROM r GROUP BY 1")
-def eval_recall_final(s, d):
-    return E.recalls(_judged(s, d), "query_id").withColumn("final", F.round("final", 6))
-
-
-@query(_RK + ", p AS (SELECT *, sum(relevance) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / rank AS p FROM r) SELECT query_id, round(coalesce(sum(relevance * p) / nullif(sum(relevance), 0), 0), 6) AS ap FROM p GROUP BY 1")
-def eval_ap(s, d):
-    return E.average_precision(_judged(s, d), "query_id").select("query_id", F.round("ap", 6).alias("ap"))
-
-
-_RK50 = _RK.replace("<= 50000", "<= 50")
 _AT = {k: f"max(CASE WHEN rank <= {k} THEN relevance ELSE 0 END)" for k in E.CUTOFFS}
 
 
-@query(_RK50 + "SELECT query_id, " + ", ".join(f"{x} AS r{k}" for k, x in _AT.items()) + f", round(({' + '.join(_AT.values())}) / 5, 6) AS final FROM r GROUP BY 1")
+@query(_RK + "SELECT query_id, " + ", ".join(f"{x} AS r{k}" for k, x in _AT.items()) + f", round(({' + '.join(_AT.values())}) / 5, 6) AS final FROM r GROUP BY 1")
 def eval_recall_frames(s, d):
-    """``eval_recall_final`` with a hit within 50 frames of the truth."""
+    """Recall at several ranks; a hit is within 50 frames of the truth."""
     return E.recalls(_judged(s, d, 50), "query_id").withColumn("final", F.round("final", 6))
 
 
-@query(_RK50 + ", p AS (SELECT *, sum(relevance) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / rank AS p FROM r) SELECT query_id, round(coalesce(sum(relevance * p) / nullif(sum(relevance), 0), 0), 6) AS ap FROM p GROUP BY 1")
+@query(_RK + ", p AS (SELECT *, sum(relevance) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / rank AS p FROM r) SELECT query_id, round(coalesce(sum(relevance * p) / nullif(sum(relevance), 0), 0), 6) AS ap FROM p GROUP BY 1")
 def eval_ap_frames(s, d):
-    """``eval_ap`` with a hit within 50 frames of the truth."""
+    """Average precision; a hit is within 50 frames of the truth."""
     return E.average_precision(_judged(s, d, 50), "query_id").select("query_id", F.round("ap", 6).alias("ap"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import SparkSession, functions as F
 
 from ..functions.keys import VIDEO_KEY_SQL, video_key
-from ..functions.text import FOLD_SQL, NORMALIZE_SQL, TOKENS_SQL, fold, format_timestamp, nfc, normalize_answer, tokens
+from ..functions.text import FOLD_SQL, NORMALIZE_SQL, SPEECH_SQL, TOKENS_SQL, fold, format_timestamp, nfc, normalize_answer, speech_tokens, speech_words, tokens
 from ..operators import lexical as L, ranking as R
 from ..tables import table
 
@@ -34,12 +36,34 @@ def segments(s, d):
 
 
 _TOK = TOKENS_SQL.format("text")
+#: Indexes of this session, by application, folder and name: built by the first search that needs them.
+_INDEXES: dict[tuple[str, str, str], L.Bm25] = {}
+
+
+def indexed(s: SparkSession, d: str, name: str, build: Callable[[], L.Bm25]) -> L.Bm25:
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = build()
+    return _INDEXES[key]
+
+
+def docs_index(s, d) -> L.Bm25:
+    return indexed(s, d, "documents", lambda: L.bm25_index(docs(s, d), "doc_id", tokens(F.col("text"))))
+
+
+def speech_index(s, d) -> L.Bm25:
+    """Transcript segments with their neighbours, by their words as speech recognition may have spelt them."""
+    def build() -> L.Bm25:
+        c = L.with_context(segments(s, d)).select(F.concat_ws(":", "video_id", "seg_idx").alias("key"), "context")
+        return L.bm25_index(c, "key", speech_tokens(F.col("context")))
 
+    return indexed(s, d, "speech", build)
 
-def _bm25_sql(source: str, key: str, terms: list[str]) -> str:
+
+def _bm25_sql(source: str, key: str, terms: list[str], words: str = _TOK) -> str:
     times = " ".join(f"WHEN '{t}' THEN {terms.count(t)}" for t in sorted(set(terms)))
     listed = ", ".join(f"'{t}'" for t in sorted(set(terms)))
-    return f"""WITH d AS (SELECT {key} AS key, {_TOK} AS words FROM {source}),
+    return f"""WITH d AS (SELECT {key} AS key, {words} AS words FROM {source}),
 st AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM d),
 x AS (SELECT key, len(words) AS dl, unnest(words) AS term FROM d), tf AS (SELECT key, dl, term, count(*) AS tf FROM x GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfs, st),
@@ -50,27 +74,13 @@ sc AS (SELECT key, sum(CASE term {times} ELSE 0 END * idf * tf * 2.5 / (tf + 1.5
 
 @query(_bm25_sql("documents", "doc_id", TERMS) + "SELECT key AS doc_id, round(score, 6) AS score FROM sc WHERE score > 0 ORDER BY score DESC, key LIMIT 100")
 def bm25_search(s, d):
-    return L.bm25(docs(s, d), "doc_id", "text", TERMS, 100).select("doc_id", F.round("score", 6).alias("score"))
+    """The best 100 texts for the terms, from an index that is built once."""
+    return L.bm25_search(docs_index(s, d), L.one_query(s, TERMS), 100).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql("documents", "doc_id", TERMS) + "SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
 def bm25_idf_table(s, d):
-    counts = L.term_counts(docs(s, d), "doc_id", "text")
-    return L.idf_table(counts, docs(s, d).agg(F.count(F.lit(1)).alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
-
-
-@query(_bm25_sql("documents", "doc_id", TERMS) + """, a AS (SELECT key AS id, row_number() OVER (ORDER BY score DESC, key) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 100),
-b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank FROM documents QUALIFY rank <= 100)
-SELECT id AS doc_id, round(sum(w / (60 + rank)), 6) AS score FROM (SELECT id, rank, 0.8 AS w FROM a UNION ALL SELECT id, rank, 1.0 FROM b) GROUP BY 1""")
-def hybrid_rrf(s, d):
-    """BM25 list (weight 0.8) fused with another ranked list, here the longest texts."""
-    from pyspark.sql import Window as W
-
-    top = L.bm25(docs(s, d), "doc_id", "text", TERMS, 100)
-    a = top.select(F.col("doc_id").alias("id"), F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("rank"), F.lit(0.8).alias("weight"))  # of 100 rows
-    long = table(s, d, "documents").select("doc_id", "n_chars").orderBy(F.desc_nulls_last("n_chars"), "doc_id").limit(100)
-    b = long.select(F.col("doc_id").alias("id"), F.row_number().over(W.orderBy(F.desc_nulls_last("n_chars"), "doc_id")).alias("rank"), F.lit(1.0).alias("weight"))
-    return R.rrf(a.unionByName(b)).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return docs_index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 _GROUPS = [["red", "lighthouse"], ["bến", "phà"]]
@@ -129,7 +139,7 @@ def colour_words(s, d):
     return docs(s, d).select("doc_id", F.array_join(have, ",").alias("colours"))
 
 
-_SEG = """WITH sg AS (SELECT 'R' || record_id AS video_id, i - 1 AS seg_idx, segments[i].text AS text, segments[i].start AS start, segments[i]."end" AS e, segments[i].frame AS frame FROM asr_sidecar, range(1, 5000) r(i) WHERE i <= len(segments)),
+_SEG = """WITH sg AS (SELECT 'R' || record_id AS video_id, i - 1 AS seg_idx, segments[i].text AS text, segments[i].start AS start, segments[i]."end" AS e, segments[i].frame AS frame FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS i FROM asr_sidecar)),
 cx AS (SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS n FROM sg WINDOW w AS (PARTITION BY video_id ORDER BY seg_idx)),
 ct AS (SELECT *, array_to_string(list_filter([p, text, n], lambda t: t IS NOT NULL AND regexp_matches(t, '[^\\s\\p{Z}]')), ' ') AS context FROM cx)
 """
@@ -140,40 +150,23 @@ def speech_context(s, d):
     return L.with_context(segments(s, d)).select("video_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "context")
 
 
-@query(_SEG + "," + _bm25_sql("(SELECT video_id || ':' || seg_idx AS k, context AS text FROM ct)", "k", TERMS)[5:] + "SELECT key, round(score, 6) AS score FROM sc WHERE score > 0 ORDER BY score DESC, key LIMIT 30")
-def speech_bm25(s, d):
-    """Transcript search over segments with their neighbours."""
-    c = L.with_context(segments(s, d)).select(F.concat_ws(":", "video_id", "seg_idx").alias("key"), "context")
-    return L.bm25(c, "key", "context", TERMS, 30).select("key", F.round("score", 6).alias("score"))
-
+_SPEECH_TERMS = ["luân", "đôn", "red", "lighthouse", "phà", "gi"]
 
-_WORDS = ["hang", "red", "ben"]
-_SHARE = "(" + " + ".join(f"CAST(contains(folded, '{w}') AS INT)" for w in _WORDS) + ") / 3.0"
-_SPK = _SEG + f""", fo AS (SELECT *, {FOLD_SQL.format("coalesce(text, '')")} AS folded FROM sg), sh AS (SELECT *, {_SHARE} AS share FROM fo),
-cand AS (SELECT DISTINCT video_id, seg_idx, seg_idx * 400 AS frame_id, seg_idx * 12.0 AS timestamp FROM sg WHERE seg_idx % 3 = 0)
-"""
-
-
-def _spoken(s, d):
-    x = segments(s, d).withColumn("folded", fold(F.coalesce("text", F.lit(""))))
-    key = F.concat_ws(":", "video_id", "seg_idx").alias("vector_id")
-    c = x.filter("seg_idx % 3 = 0").select("video_id", key, (F.col("seg_idx") * 400).alias("frame_id"), (F.col("seg_idx") * 12.0).alias("timestamp"))
-    return c, x
 
-
-@query(_SPK + "SELECT c.video_id || ':' || c.seg_idx AS vector_id, round(max(share * greatest(0.3, 1 - abs(frame_id - frame) / 150.0)), 6) AS score FROM cand c JOIN sh ON sh.video_id = c.video_id AND abs(frame_id - frame) <= 150 AND share > 0 GROUP BY 1")
-def speech_term_score(s, d):
-    return L.near_segment_scores(*_spoken(s, d), _WORDS).select("vector_id", F.round("score", 6).alias("score"))
+@query(_SEG + "," + _bm25_sql("(SELECT video_id || ':' || seg_idx AS k, context AS text FROM ct)", "k", speech_words(" ".join(_SPEECH_TERMS)), SPEECH_SQL.format("text"))[5:] + "SELECT key, round(score, 6) AS score FROM sc WHERE score > 0 ORDER BY score DESC, key LIMIT 30")
+def speech_bm25(s, d):
+    """Transcript search over segments with their neighbours, by words as speech recognition may have spelt them."""
+    terms = speech_words(" ".join(_SPEECH_TERMS))
+    return L.bm25_search(speech_index(s, d), L.one_query(s, terms), 30).select("key", F.round("score", 6).alias("score"))
 
 
-@query(_SPK + """SELECT c.video_id || ':' || c.seg_idx AS vector_id, round(max(share * greatest(0.1, exp(-0.01 * abs(timestamp - (start + e) / 2))) * CASE WHEN timestamp >= start - 2 AND timestamp <= e + 2 THEN 1.0 ELSE 0.3 END), 6) AS score
-FROM cand c JOIN sh ON sh.video_id = c.video_id AND share > 0 WHERE start IS NOT NULL AND e IS NOT NULL AND NOT isnan(start) AND NOT isnan(e) GROUP BY 1""")
-def speech_interval_score(s, d):
-    c, x = _spoken(s, d)
-    x = x.filter("start is not null and end is not null and not isnan(start) and not isnan(end)")
-    return L.interval_scores(c, x, _WORDS).select("vector_id", F.round("score", 6).alias("score"))
+@query("SELECT record_id, array_to_string({}, ' ') AS words FROM asr_sidecar".format(SPEECH_SQL.format("text")))
+def speech_words_table(s, d):
+    return table(s, d, "asr_sidecar").select("record_id", F.array_join(speech_tokens(F.col("text")), " ").alias("words"))
 
 
+_WORDS = ["hang", "red", "ben"]
+_SHARE = "(" + " + ".join(f"CAST(contains(folded, '{w}') AS INT)" for w in _WORDS) + ") / 3.0"
 _K = VIDEO_KEY_SQL.format("video_id")
 _FRM = f"""WITH sg AS (SELECT {_K} AS video_id, u.text AS text, u.start AS start, u."end" AS e, u.frame AS frame FROM (SELECT video_id, unnest(segments) AS u FROM asr_sidecar)),
 fo AS (SELECT *, {FOLD_SQL.format("coalesce(text, '')")} AS folded FROM sg), sh AS (SELECT *, {_SHARE} AS share FROM fo), v AS (SELECT {_K} AS k, fps FROM videos),
@@ -232,23 +225,20 @@ def speech_video_score(s, d):
     return L.video_scores(e, F.least(F.lit(1.0), F.col("n") / 5.0), F.lit(0.0)).select("query_id", "video_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT query_id, {_K} AS video_id, start AS t, row_number() OVER (PARTITION BY query_id, {_K} ORDER BY bm25_score DESC NULLS LAST, start, match_id) AS i FROM segment_matches WHERE start IS NOT NULL),
+p AS (SELECT query_id, video_id, i, [t] AS picked FROM m WHERE i = 1 UNION ALL
+  SELECT m.query_id, m.video_id, m.i, CASE WHEN len(picked) < 10 AND len(list_filter(picked, lambda x: abs(x - m.t) < 5)) = 0 THEN list_append(picked, m.t) ELSE picked END
+  FROM p JOIN m ON m.query_id IS NOT DISTINCT FROM p.query_id AND m.video_id IS NOT DISTINCT FROM p.video_id AND m.i = p.i + 1)
+SELECT query_id, video_id, array_to_string(list_transform(list_sort(arg_max(picked, i)), lambda x: CAST(x AS VARCHAR)), ',') AS times FROM p GROUP BY 1, 2""")
 def speech_diverse_ts(s, d):
     return L.diverse_times(_matches(s, d)).select("query_id", "video_id", F.array_join(F.transform("times", lambda t: t.cast("string")), ",").alias("times"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_TOK} AS words FROM documents WHERE doc_id IN (1, 2, 3, 4, 5)), x AS (SELECT unnest(words) AS term FROM t)
-SELECT term, count(*) AS n FROM x WHERE length(term) >= 2 AND term NOT IN ('the', 'a', 'and', 'of', 'to', 'in') GROUP BY 1 ORDER BY n DESC, term LIMIT 3""")
-def feedback_terms(s, d):
-    """Words for a second search from the best hits, here five given documents."""
-    return L.feedback_terms(docs(s, d).filter("doc_id in (1, 2, 3, 4, 5)"), "text", ["the", "a", "and", "of", "to", "in"])
-
-
 @query(_bm25_sql("documents", "doc_id", TERMS) + f""", h AS (SELECT key FROM sc WHERE score > 0 ORDER BY score DESC, key LIMIT 5), w AS (SELECT unnest({_TOK}) AS term FROM documents WHERE doc_id IN (SELECT key FROM h))
 SELECT term, count(*) AS n FROM w WHERE length(term) >= 2 AND term NOT IN ('the', 'a', 'and', 'of', 'to', 'in') GROUP BY 1 ORDER BY n DESC, term LIMIT 3""")
 def feedback_terms_hits(s, d):
     """Words for a second search from the five best hits of ``bm25_search``'s terms."""
-    hits = L.bm25(docs(s, d), "doc_id", "text", TERMS, 5).select("doc_id")
+    hits = L.bm25_search(docs_index(s, d), L.one_query(s, TERMS), 5).select(F.col("key").alias("doc_id"))
     return L.feedback_terms(docs(s, d).join(F.broadcast(hits), "doc_id", "left_semi"), "text", ["the", "a", "and", "of", "to", "in"])
 
 

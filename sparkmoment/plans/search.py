@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..functions.keys import VIDEO_KEY_SQL, video_key
 from ..functions.vectors import cosine, dot, normalize
-from ..operators import ranking as R, vector as V
+from ..operators import annindex as I, ranking as R, vector as V
+from ..store import materialize, shared_dir
 from ..tables import table
 
+
 def frames(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("vector_id"), F.concat(F.lit("V"), F.lpad(F.col("label").cast("string"), 2, "0")).alias("video_id"), F.col("vec_id").alias("frame_id"), F.col("embedding").alias("vec"))
 
 
-def queries_of(s: SparkSession, d: str, *ids: int) -> DataFrame:
-    """The vectors with these ids as queries 0, 1, ..."""
-    return table(s, d, "embeddings").filter(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+def events_of(s: SparkSession, d: str) -> DataFrame:
+    """The three events of one search, as vectors 0, 1 and 2."""
+    return table(s, d, "embeddings").filter(F.col("vec_id").isin(0, 1, 2)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
 def every_20th(s: SparkSession, d: str) -> DataFrame:
@@ -37,10 +40,7 @@ def candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 _FR = """WITH fr AS (SELECT vec_id AS vector_id, 'V' || lpad(CAST(label AS VARCHAR), 2, '0') AS video_id, vec_id AS frame_id, CAST(embedding AS DOUBLE[]) AS v0 FROM embeddings),
-f AS (SELECT *, list_transform(v0, lambda x: x / greatest(sqrt(list_dot_product(v0, v0)), 1e-12)) AS vec FROM fr),
-hit AS (SELECT q.vector_id AS query_id, f.vector_id, f.video_id, list_dot_product(f.vec, q.vec) AS score FROM f, f AS q WHERE q.vector_id IN (0, 1, 2)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM hit),
-t100 AS (SELECT * FROM rk WHERE query_id = 0 AND rank <= 100)
+f AS (SELECT *, list_transform(v0, lambda x: x / greatest(sqrt(list_dot_product(v0, v0)), 1e-12)) AS vec FROM fr)
 """
 _CA = """WITH c AS (SELECT event_id AS vector_id, 'U' || user_id AS video_id, epoch_us(ts) / 1e6 AS timestamp, value AS score, event_type AS label, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
 """
@@ -57,32 +57,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _top(s: SparkSession, d: str, k: int = 100) -> DataFrame:
-    return V.knn(frames(s, d), queries_of(s, d, 0), k)
-
-
-@query(_FR + "SELECT vector_id, video_id, round(score, 6) AS score, rank FROM t100")
-def knn_topk(s, d):
-    return _top(s, d).select("vector_id", "video_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
-
-
-@query(_FR + "SELECT query_id, vector_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
-def knn_topk_many(s, d):
-    return V.knn(frames(s, d), queries_of(s, d, 0, 1, 2), 10).select("query_id", "vector_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
-
-
-@query(_FR + "SELECT vector_id, video_id, round(score, 6) AS score FROM hit WHERE query_id = 0 AND video_id IN ('V01', 'V03', 'V05') ORDER BY score DESC, vector_id LIMIT 50")
-def knn_filtered_videos(s, d):
-    allowed = frames(s, d).select("video_id").distinct().filter(F.col("video_id").isin("V01", "V03", "V05"))
-    return V.knn(frames(s, d).join(allowed, "video_id", "left_semi"), queries_of(s, d, 0), 50).select("vector_id", "video_id", F.round("score", 6).alias("score"))
-
-
-@query(_FR + "SELECT vector_id, round(score, 6) AS score FROM hit WHERE query_id = 0 AND vector_id % 2 = 0 ORDER BY score DESC, vector_id LIMIT 50")
-def knn_filtered_rows(s, d):
-    rows = frames(s, d).select("vector_id").filter(F.col("vector_id") % 2 == 0)
-    return V.knn(frames(s, d).join(rows, "vector_id", "left_semi"), queries_of(s, d, 0), 50).select("vector_id", F.round("score", 6).alias("score"))
-
-
 @query("""SELECT count(*) AS n_rows, CAST(min(len(embedding)) AS BIGINT) AS min_dim, CAST(max(len(embedding)) AS BIGINT) AS max_dim,
 CAST(sum(CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_not_finite,
 CAST(sum(CASE WHEN abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) > 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS n_not_unit FROM embeddings""")
@@ -101,72 +75,19 @@ def video_mean_pool(s, d):
     return pooled.select("video_id", F.posexplode("vec").alias("pos", "x")).select("video_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
-@query(_MEAN + """, q AS (SELECT pos, avg(vec[pos]) AS y FROM f, range(1, 65) r(pos) WHERE vector_id IN (0, 1, 2) GROUP BY 1), qn AS (SELECT sqrt(sum(y * y)) AS n FROM q)
-SELECT video_id, round(sum(x * y) / any_value(n), 6) AS score FROM m JOIN q USING (pos), qn GROUP BY video_id ORDER BY score DESC, video_id LIMIT 5""")
-def coarse_video_topk(s, d):
-    """Stage one of event search: videos by the cosine of their mean vector to the events' centroid."""
-    events = queries_of(s, d, 0, 1, 2).select(F.lit(0).alias("g"), normalize(F.col("qvec")).alias("vec"))
-    centre = V.mean_pool(events, ["g"]).select(F.col("vec").alias("centre"))
-    pooled = V.mean_pool(frames(s, d), ["video_id"])
-    hit = pooled.crossJoin(F.broadcast(centre)).select("video_id", F.round(dot(F.col("vec"), F.col("centre")), 6).alias("score"))
-    return hit.orderBy(F.desc("score"), "video_id").limit(5)
-
-
-_DIV = _FR + ", d AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, vector_id) AS r FROM t100)"
-
-
-@query(_DIV + " SELECT vector_id, video_id, round(score, 6) AS score FROM d WHERE r <= 3 ORDER BY score DESC, vector_id LIMIT 20")
-def diversify_cap(s, d):
-    return R.diversify(_top(s, d), 3, 20).select("vector_id", "video_id", F.round("score", 6).alias("score"))
-
-
-@query(_FR + ", d AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, vector_id) AS r FROM hit WHERE query_id = 0) SELECT video_id, vector_id, r, round(score, 6) AS score FROM d WHERE r <= 5")
-def per_video_topm(s, d):
-    hits = V.scored(frames(s, d), queries_of(s, d, 0)).select("video_id", "vector_id", "score")
-    return R.top_per_group(hits, ["video_id"], 5).select("video_id", "vector_id", F.col("rank").cast("bigint").alias("r"), F.round("score", 6).alias("score"))
-
-
-@query(_DIV + """, v AS (SELECT video_id, max(score) + ln(sum(exp(score - m))) AS vs FROM (SELECT *, max(score) OVER (PARTITION BY video_id) AS m FROM d WHERE r <= 3) GROUP BY 1 ORDER BY vs DESC, video_id LIMIT 5)
-SELECT video_id, vector_id, CAST(r AS BIGINT) AS r, round(vs, 6) AS video_score, round(vs - (r - 1) * 1e-4, 6) AS score FROM d JOIN v USING (video_id) WHERE r <= 4""")
-def video_rerank_lse(s, d):
-    out = R.video_rerank(_top(s, d), 5, 4, 3)
-    return out.select("video_id", "vector_id", F.col("r").cast("bigint").alias("r"), F.round("video_score", 6).alias("video_score"), F.round("score", 6).alias("score"))
-
-
-def _lists(s, d, weights: dict[int, float], k: int) -> DataFrame:
-    w = reduce(lambda c, q: c.when(F.col("query_id") == q, F.lit(weights[q])), weights, F.when(F.lit(False), F.lit(0.0)))
-    return V.knn(frames(s, d), queries_of(s, d, *weights), k).select(F.col("vector_id").alias("id"), "rank", w.alias("weight"))
-
-
-@query(_FR + "SELECT vector_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM rk WHERE query_id IN (0, 1) AND rank <= 100 GROUP BY 1")
-def rrf_two_lists(s, d):
-    return R.rrf(_lists(s, d, {0: 1.0, 1: 1.0}, 100)).select(F.col("id").alias("vector_id"), F.round("score", 6).alias("score"))
-
-
-@query(_FR + "SELECT vector_id, round(sum(CASE query_id WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.65 END / (4 + rank)), 6) AS score FROM rk WHERE rank <= 100 GROUP BY 1")
-def rrf_weighted_variants(s, d):
-    """Query variants weigh 1.0, then 0.8 - 0.15 per further one; the constant adapts to lists of 100."""
-    weights = {i: 1.0 if i == 0 else max(0.2, 0.8 - 0.15 * (i - 1)) for i in range(3)}
-    return R.rrf(_lists(s, d, weights, 100), None, 100).select(F.col("id").alias("vector_id"), F.round("score", 6).alias("score"))
-
-
-def _norm(s, d, expr) -> DataFrame:
-    return candidates(s, d).select("vector_id", "label", F.round(expr(W.partitionBy("label")), 6).alias("norm"))
-
-
 @query(_CA + "SELECT vector_id, label, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS norm FROM c WINDOW w AS (PARTITION BY label)")
 def normalize_minmax(s, d):
-    return _norm(s, d, lambda w: R.minmax(F.col("score"), w))
+    return R.by_extent(candidates(s, d), ["label"], "score", "norm").select("vector_id", "label", F.round("norm", 6).alias("norm"))
 
 
 @query(_CA + "SELECT vector_id, label, round(CASE WHEN max(score) OVER w < 1e-9 THEN 0.0 ELSE score / max(score) OVER w END, 6) AS norm FROM c WINDOW w AS (PARTITION BY label)")
 def normalize_maxdiv(s, d):
-    return _norm(s, d, lambda w: R.maxdiv(F.col("score"), w))
+    return R.by_highest(candidates(s, d), ["label"], "score", "norm").select("vector_id", "label", F.round("norm", 6).alias("norm"))
 
 
 @query(_CA + "SELECT vector_id, label, round(1 / (1 + exp(-score / 100)), 6) AS norm FROM c")
 def normalize_sigmoid(s, d):
-    return _norm(s, d, lambda w: R.sigmoid(F.col("score"), 100.0))
+    return candidates(s, d).select("vector_id", "label", F.round(R.sigmoid(F.col("score"), 100.0), 6).alias("norm"))
 
 
 @query(_CA + ", p AS (SELECT label, quantile_cont(score, 0.9) AS p, count(score) AS n FROM c GROUP BY 1) SELECT vector_id, label, round(CASE WHEN n < 2 OR abs(p) < 1e-9 THEN 1.0 ELSE greatest(0.0, least(1.0, score / p)) END, 6) AS norm FROM c JOIN p USING (label)")
@@ -213,11 +134,21 @@ def moments_lse(s, d):
     return m.select("video_id", F.col("island").cast("bigint").alias("island"), F.round("score", 6).alias("score"))
 
 
-@query()
+_SH = """WITH c AS (SELECT vector_id, {k} AS video_id, "timestamp" AS t, shot_id FROM frames WHERE isfinite("timestamp") AND video_id IS NOT NULL),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 3 THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY video_id ORDER BY t, vector_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY t, vector_id ROWS UNBOUNDED PRECEDING) AS island FROM g),
+z AS (SELECT video_id, island, arg_min({{'s': shot_id}}, {{'t': t, 'v': vector_id}}).s AS shot, min(t) AS a, max(t) AS b, count(*) AS n FROM i GROUP BY 1, 2),
+y AS (SELECT *, CASE WHEN lag(shot) OVER w = shot THEN 0 ELSE 1 END AS new FROM z WINDOW w AS (PARTITION BY video_id ORDER BY island)),
+m AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY island ROWS UNBOUNDED PRECEDING) - 1 AS moment FROM y)
+""".format(k=VIDEO_KEY_SQL.format("video_id"))
+
+
+@query(_SH + "SELECT video_id, CAST(moment AS BIGINT) AS moment, CAST(sum(n) AS BIGINT) AS n, round(max(b) - min(a), 6) AS seconds FROM m GROUP BY 1, 2")
 def moments_shot(s, d):
-    """Sessions that a shared shot keeps together; the event type plays the shot."""
-    c = candidates(s, d).withColumn("shot_id", F.pmod(F.xxhash64("label"), F.lit(1000)))
-    return R.moments_with_shots(c, 3600.0).select("video_id", "moment", "n", F.round("score", 6).alias("score"))
+    """Sessions of each video's frames that a shared shot keeps together."""
+    c = table(s, d, "frames").select("vector_id", video_key("video_id").alias("video_id"), "timestamp", "shot_id", F.lit(0.0).alias("score"))
+    m = R.moments_with_shots(c.filter(F.col("video_id").isNotNull() & (F.abs("timestamp") < float("inf"))), 3.0)
+    return m.select("video_id", F.col("moment").cast("bigint").alias("moment"), F.col("n").cast("bigint").alias("n"), F.round(F.col("end") - F.col("start"), 6).alias("seconds"))
 
 
 @query(_IS.format(gap=3600) + ", m AS (SELECT video_id, island, max(score) AS score, arg_max(vector_id, {'s': score, 't': -timestamp, 'v': -vector_id}) AS vector_id, min(timestamp) AS start FROM i GROUP BY 1, 2) SELECT video_id, vector_id, round(score, 6) AS score FROM m ORDER BY score DESC, vector_id LIMIT 100")
@@ -227,9 +158,10 @@ def moments_to_frames(s, d):
     return m.orderBy(F.desc("score"), "vector_id").limit(100)
 
 
-_TILE = _FR + """, p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS pos, count(*) OVER (PARTITION BY video_id) AS n FROM fr),
-t AS (SELECT video_id, seg, vector_id, v0 FROM p, range(0, 1000) g(seg) WHERE pos >= seg * {step} AND pos < seg * {step} + 10 AND seg <= greatest(0, ceil((n - 10) / {step}.0))),
-a AS (SELECT video_id, seg, pos, {agg}(v0[pos]) AS x FROM t, range(1, 65) r(pos) GROUP BY ALL), z AS (SELECT video_id, seg, sqrt(sum(x * x)) AS n FROM a GROUP BY ALL)
+_TILED = _FR + """, p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS pos, count(*) OVER (PARTITION BY video_id) AS n FROM fr),
+t AS (SELECT video_id, seg, vector_id, v0 FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((n - 10) / {step}.0)) AS BIGINT) + 1)) AS seg FROM p) WHERE pos >= seg * {step} AND pos < seg * {step} + 10)
+"""
+_TILE = _TILED + """, a AS (SELECT video_id, seg, pos, {agg}(v0[pos]) AS x FROM t, range(1, 65) r(pos) GROUP BY ALL), z AS (SELECT video_id, seg, sqrt(sum(x * x)) AS n FROM a GROUP BY ALL)
 SELECT video_id, seg, CAST(pos - 1 AS BIGINT) AS pos, round(x / n, 6) AS x FROM a JOIN z USING (video_id, seg)"""
 
 
@@ -247,68 +179,26 @@ def segments_overlap_max(s, d):
     return _flat(V.max_pool(V.tiles(frames(s, d), 10, 2), ["video_id", "seg"]))
 
 
-@query()
+#: Distance of each vector to its tile's mean, and the vectors' weights.
+_NEAR = _TILED.format(step=10) + """, mu AS (SELECT video_id, seg, pos, avg(v0[pos]) AS m FROM t, range(1, 65) r(pos) GROUP BY ALL),
+dd AS (SELECT t.video_id, t.seg, vector_id, sqrt(sum((v0[pos] - m) * (v0[pos] - m))) AS d FROM t JOIN mu USING (video_id, seg) GROUP BY ALL),
+w AS ({w}),
+a AS (SELECT video_id, seg, pos, sum(v0[pos] * w) / sum(w) AS x FROM t JOIN w USING (video_id, seg, vector_id), range(1, 65) r(pos) GROUP BY ALL), z AS (SELECT video_id, seg, sqrt(sum(x * x)) AS n FROM a GROUP BY ALL)
+SELECT video_id, seg, CAST(pos - 1 AS BIGINT) AS pos, round(x / n, 6) AS x FROM a JOIN z USING (video_id, seg)"""
+
+
+@query(_NEAR.replace("{w}", "SELECT video_id, seg, vector_id, 1.0 AS w FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seg ORDER BY d, vector_id) AS r, count(*) OVER (PARTITION BY video_id, seg) AS n FROM dd) WHERE r <= greatest(1, round_even(n * 0.5, 0))"))
 def segments_topk_pool(s, d):
     return _flat(V.near_mean_pool(V.tiles(frames(s, d), 10), ["video_id", "seg"], 0.5))
 
 
-@query()
+@query(_NEAR.replace("{w}", "SELECT video_id, seg, vector_id, 1 / greatest(d, 1e-6) AS w FROM dd"))
 def segments_weighted_pool(s, d):
     return _flat(V.near_mean_pool(V.tiles(frames(s, d), 10), ["video_id", "seg"], None))
 
 
-@query(_FR + """, c AS (SELECT vector_id, sum(score * CASE query_id WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 2.0 END) / 3.5 AS cov FROM hit GROUP BY 1),
-b AS (SELECT t.vector_id, t.score, c.cov FROM t100 t JOIN c USING (vector_id)),
-n AS (SELECT vector_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS ns, (cov - min(cov) OVER ()) / (max(cov) OVER () - min(cov) OVER ()) AS nc FROM b)
-SELECT vector_id, round(nc, 6) AS coverage, round(0.5 * ns + 0.5 * nc, 6) AS score FROM n""")
-def event_aware_blend(s, d):
-    """Coverage of weighted event vectors over the candidates, blended half and half with their scores."""
-    weights = F.when(F.col("query_id") == 0, 1.0).when(F.col("query_id") == 1, 0.5).otherwise(2.0)
-    top = _top(s, d).select("vector_id", "score")
-    pool = frames(s, d).join(F.broadcast(top), "vector_id").withColumnRenamed("score", "first")
-    cov = V.scored(pool, queries_of(s, d, 0, 1, 2)).groupBy("vector_id", "first").agg((F.sum(F.col("score") * weights) / F.sum(weights)).alias("cov"))
-    one = W.partitionBy(F.lit(0))  # the pool of one query
-    n = cov.select("vector_id", R.minmax(F.col("first"), one, 0.5).alias("ns"), R.minmax(F.col("cov"), one, 0.5).alias("nc"))
-    return n.select("vector_id", F.round("nc", 6).alias("coverage"), F.round(0.5 * F.col("ns") + 0.5 * F.col("nc"), 6).alias("score"))
-
-
-@query(_FR + """, m AS (SELECT vector_id, max(score * CASE query_id WHEN 0 THEN 1.0 WHEN 1 THEN 1.2 ELSE 1.4 END) AS ms FROM hit GROUP BY 1)
-SELECT vector_id, round(score + 0.4 * ms, 6) AS score FROM t100 JOIN m USING (vector_id)""")
-def maxsim_rerank(s, d):
-    """Score plus 0.4 times the best weighted facet similarity."""
-    weights = F.when(F.col("query_id") == 0, 1.0).when(F.col("query_id") == 1, 1.2).otherwise(1.4)
-    top = _top(s, d).select("vector_id", F.col("score").alias("first"))
-    pool = frames(s, d).join(F.broadcast(top), "vector_id")
-    best = V.scored(pool, queries_of(s, d, 0, 1, 2)).groupBy("vector_id", "first").agg(F.max(F.col("score") * weights).alias("ms"))
-    return best.select("vector_id", F.round(F.col("first") + 0.4 * F.col("ms"), 6).alias("score"))
-
-
-@query(_FR + """, cc AS (SELECT vector_id AS cell, vec AS c FROM f WHERE vector_id < 16), a AS (SELECT f.vector_id, cell, row_number() OVER (PARTITION BY f.vector_id ORDER BY list_dot_product(f.vec, c) DESC, cell) AS r FROM f, cc),
-p AS (SELECT cell FROM cc, f AS q WHERE q.vector_id = 0 ORDER BY list_dot_product(q.vec, c) DESC, cell LIMIT 4)
-SELECT vector_id, round(score, 6) AS score FROM hit WHERE query_id = 0 AND vector_id IN (SELECT vector_id FROM a WHERE r = 1 AND cell IN (SELECT cell FROM p)) ORDER BY score DESC, vector_id LIMIT 20""")
-def ann_cells(s, d):
-    """Approximate search: nearest coarse cells of the query only, exact cosine within them. The centres are 16 given vectors."""
-    f = frames(s, d)
-    centres = f.filter(F.col("vector_id") < 16).select(F.col("vector_id").alias("cell"), F.col("vec").alias("c"))  # 16 rows
-    near = f.crossJoin(F.broadcast(centres)).select("vector_id", "video_id", "vec", "cell", cosine(F.col("vec"), F.col("c")).alias("sim"))
-    filed = near.groupBy("vector_id").agg(F.max_by(F.struct("video_id", "vec", "cell"), F.struct("sim", -F.col("cell"))).alias("x")).select("vector_id", "x.*")
-    q = queries_of(s, d, 0)
-    probe = centres.crossJoin(F.broadcast(q)).select("cell", cosine(F.col("c"), F.col("qvec")).alias("sim")).orderBy(F.desc("sim"), "cell").limit(4).select("cell")
-    return V.knn(filed.join(F.broadcast(probe), "cell", "left_semi"), q, 20).select("vector_id", F.round("score", 6).alias("score"))
-
-
-@query()
-def ann_every(s, d):
-    """Approximate search of all rows for every 20th, by an inverted file with fitted centres and measured recall."""
-    return V.ivf(frames(s, d), every_20th(s, d), 20).select("query_id", "vector_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(_FR + "SELECT video_id, vector_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, vector_id) AS r FROM rk WHERE rank <= 50) WHERE r = 1")
-def best_per_video(s, d):
-    """Best hit of a video over all query variants."""
-    hits = V.knn(frames(s, d), queries_of(s, d, 0, 1, 2), 50)
-    return R.best_per(hits, ["video_id"]).select("video_id", "vector_id", F.round("score", 6).alias("score"))
-
 
 # --- every row whose id is divisible by 20 as a search of all rows ---------------------------------
 # The variants (or events, or facets) of search q are the vectors q, q + 1 and q + 2.
@@ -424,3 +314,49 @@ def maxsim_every(s, d):
     weights = F.when(F.col("v") == 0, 1.0).when(F.col("v") == 1, 1.2).otherwise(1.4)
     best = _pool(s, d).groupBy("query_id", "vector_id", "first").agg(F.max(F.col("score") * weights).alias("ms"))
     return best.select("query_id", "vector_id", F.round(F.col("first") + 0.4 * F.col("ms"), 6).alias("score"))
+
+
+@query(_EV + """, u AS (SELECT query_id, pos, avg(vec[pos]) AS y FROM vr, range(1, 65) r(pos) GROUP BY ALL), un AS (SELECT query_id, sqrt(sum(y * y)) AS n FROM u GROUP BY 1),
+mv AS (SELECT video_id, pos, avg(v0[pos]) AS x FROM fr, range(1, 65) r(pos) GROUP BY ALL), mn AS (SELECT video_id, sqrt(sum(x * x)) AS n FROM mv GROUP BY 1)
+SELECT query_id, video_id, round(sum(x * y) / any_value(un.n) / any_value(mn.n), 6) AS score FROM mv JOIN mn USING (video_id) JOIN u USING (pos) JOIN un USING (query_id) GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(x * y) / any_value(un.n) / any_value(mn.n), 6) DESC, video_id) <= 5""")
+def coarse_video_topk(s, d):
+    """Stage one of event search: for every search, videos by the cosine of their mean vector to the events' centroid."""
+    centre = V.mean_pool(variants(s, d).select("search", normalize(F.col("qvec")).alias("vec")), ["search"]).select(F.col("search").alias("query_id"), F.col("vec").alias("qvec"))
+    pooled = V.mean_pool(frames(s, d), ["video_id"]).withColumn("vector_id", F.xxhash64("video_id"))
+    hit = V.scored(pooled, centre).select("query_id", "video_id", F.round("score", 6).alias("score"))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "video_id")
+    return hit.withColumn("r", F.row_number().over(w)).filter("r <= 5").drop("r")
+
+
+def _ann(s, d, recall: float = 0.92):
+    """The index of all vectors, written by cell, and the answers for every 20th of them."""
+    f, q = frames(s, d), every_20th(s, d)
+    index = I.fit(f)
+    path = f"{shared_dir(s)}/tables/ann-{uuid.uuid4().hex}"
+    I.write(I.file(f, index), path)
+    filed = I.read(s, path)
+    return I.search(filed, index, q, 20, I.probes_for(filed, index, q, 20, recall), 16)
+
+
+@query()
+def ann_every(s, d):
+    """Approximate search of all rows for every 20th, by an inverted file of product codes with exact re-ranking."""
+    return _ann(s, d).select("query_id", "vector_id", _score(), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(s, d):
+    """Recall of ``ann_every`` against brute force over all its queries: whether it reaches 0.9."""
+    found = materialize(_ann(s, d).select("query_id", "vector_id"), "found")
+    true = _every(s, d, 20).select("query_id", "vector_id")
+    n = every_20th(s, d).agg(F.count(F.lit(1)).alias("n_queries"))
+    both = true.join(found.withColumn("hit", F.lit(1)), ["query_id", "vector_id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    return n.crossJoin(F.broadcast(both)).select("n_queries", (F.col("recall") >= 0.9).alias("enough"))  # one row each
+
+
+@query(_EV + "SELECT query_id, vector_id, round(score, 6) AS score FROM hit WHERE v = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) <= 5")
+def knn_grid(s, d):
+    """Search with more queries than are sent at once: blocks of queries meet parts of the vectors."""
+    hits = V.scored(frames(s, d), every_20th(s, d), block=20).select("query_id", "vector_id", "video_id", "score")
+    return R.top_per_group(hits, ["query_id"], 5).select("query_id", "vector_id", _score())

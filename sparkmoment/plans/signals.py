@@ -59,23 +59,6 @@ def confidence_gap(s, d):
     return S.confidence_gap(candidates(s, d), ["label"]).select("label", F.round("gap", 6).alias("gap"))
 
 
-_EV = f"""WITH e AS (SELECT query_id, event_index, regexp_extract({FOLD_SQL.format('vi_text')}, '([a-z]{{{{4,}}}})', 1) AS word, importance FROM notebook_events WHERE vi_text IS NOT NULL AND importance IS NOT NULL),
-ew AS (SELECT * FROM e WHERE word <> ''), m AS (SELECT query_id, {_K} AS video_id, {FOLD_SQL.format('segment_text')} AS folded FROM segment_matches WHERE segment_text IS NOT NULL),
-t AS (SELECT query_id, count(*) AS total, sum(importance) AS weight FROM (SELECT DISTINCT query_id, event_index, importance FROM ew) GROUP BY 1),
-h AS (SELECT DISTINCT m.query_id, video_id, event_index, importance FROM m JOIN ew ON ew.query_id = m.query_id AND contains(folded, word)),
-g AS (SELECT query_id, video_id, count(*) AS matched, sum(importance) AS w FROM h GROUP BY 1, 2)
-SELECT query_id, video_id, matched, round(matched / total, 6) AS coverage, round(coalesce(w / nullif(weight, 0), 0), 6) AS weighted FROM g JOIN t USING (query_id)""".replace("{{", "{").replace("}}", "}")
-
-
-@query(_EV)
-def event_coverage(s, d):
-    """Planned events found in the transcript matches of their query, by their first word of four letters."""
-    e = table(s, d, "notebook_events").filter("vi_text is not null and importance is not null")
-    e = e.select("query_id", "event_index", F.regexp_extract(fold(F.col("vi_text")), "([a-z]{4,})", 1).alias("word"), "importance").filter("word <> ''")
-    m = table(s, d, "segment_matches").filter("segment_text is not null").select("query_id", video_key("video_id").alias("video_id"), fold(F.col("segment_text")).alias("folded"))
-    return S.event_coverage(m, e).select("query_id", "video_id", "matched", F.round("coverage", 6).alias("coverage"), F.round("weighted", 6).alias("weighted"))
-
-
 _EVW = f"""WITH e AS (SELECT query_id, event_index, importance, regexp_extract_all({FOLD_SQL.format("concat_ws(' ', vi_text, en_text)")}, '[a-z]{{4,}}') AS ws FROM notebook_events),
 ew AS (SELECT query_id, event_index, importance, unnest(ws) AS word FROM e), m AS (SELECT query_id, {_K} AS video_id, concat_ws(chr(10), {FOLD_SQL.format('segment_text')}, {FOLD_SQL.format('matched_query')}) AS folded FROM segment_matches),
 t AS (SELECT query_id, count(*) AS total, sum(importance) AS weight FROM (SELECT DISTINCT query_id, event_index, importance FROM e) GROUP BY 1),

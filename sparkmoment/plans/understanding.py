@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import functions as F
 
-from ..functions.querytext import parsed
+from ..functions.querytext import parsed, variants
 from ..tables import table
 
 
+class Expand:
+    """Table function: the numbered variants of a query text; none for a null or empty one."""
+
+    def eval(self, text: str | None) -> Iterator[tuple[int, str]]:
+        yield from enumerate(variants((text or "").strip()))
+
+
+expand = F.udtf(Expand, returnType="pos int, variant string")
+
+
 def parse_query_udf(s, d):
     p = parsed(table(s, d, "kis_dev").select("kis_id", "query"), "query")
     join = lambda c: F.array_join(f"plan.{c}", "|").alias(c)
@@ -15,8 +27,9 @@ def parse_query_udf(s, d):
 
 
 def expand_query_udtf(s, d):
-    p = parsed(table(s, d, "notebook_events").select("event_id", F.coalesce("en_text", "vi_text").alias("t")), "t")
-    return p.select("event_id", F.posexplode("plan.variants").alias("pos", "variant"))
+    """Every planned event beside its query variants, by a lateral join with the table function."""
+    t = table(s, d, "notebook_events").select("event_id", F.coalesce("en_text", "vi_text").alias("t"))
+    return t.lateralJoin(expand(F.col("t").outer())).select("event_id", "pos", "variant")
 
 
 QUERIES = {"parse_query_udf": parse_query_udf, "expand_query_udtf": expand_query_udtf}

@@ -3,11 +3,14 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from compare import compare
 from sparkmoment import registry
 from sparkmoment.functions.keys import video_key
-from sparkmoment.operators import vector as V
-from sparkmoment.plans import search, tasks
+from sparkmoment.functions.text import fold
+from sparkmoment.operators import evaluate as E, signals as S, vector as V
+from sparkmoment.plans import catalog, search, tasks
 from sparkmoment.tables import table
 
 SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -74,7 +77,7 @@ def test_every_frame_takes_part(spark, name):
 
 
 def test_a_hit_is_within_50_frames(spark):
-    far = registry.QUERIES["eval_recall_final"](spark, LARGER).agg({"r100": "sum"}).first()[0]
+    far = E.recalls(catalog._judged(spark, LARGER, 50_000), "query_id").agg({"r100": "sum"}).first()[0]
     near = registry.QUERIES["eval_recall_frames"](spark, LARGER).agg({"r100": "sum"}).first()[0]
     assert near < far
     for name in ("eval_recall_frames", "eval_ap_frames"):
@@ -85,5 +88,16 @@ def test_a_hit_is_within_50_frames(spark):
 def test_any_word_of_an_event_covers_it(spark):
     ok, said = compare(spark, SF, "event_coverage_words")
     assert ok, said
-    first = registry.QUERIES["event_coverage"](spark, SF).agg({"matched": "sum"}).first()[0]
+    e = table(spark, SF, "notebook_events").select("query_id", "event_index", F.regexp_extract(fold(F.col("vi_text")), "([a-z]{4,})", 1).alias("word"), "importance")
+    m = table(spark, SF, "segment_matches").select("query_id", video_key("video_id").alias("video_id"), fold(F.col("segment_text")).alias("folded"))
+    first = S.event_coverage(m, e.filter("word <> '' and importance is not null")).agg({"matched": "sum"}).first()[0]
     assert registry.QUERIES["event_coverage_words"](spark, SF).agg({"matched": "sum"}).first()[0] > (first or 0)
+
+
+def test_more_queries_than_are_sent_at_once(spark):
+    q = spark.range(12_000).selectExpr("id as query_id", "array(cast(cos(id) as double), cast(sin(id) as double)) as qvec")
+    f = spark.range(5).selectExpr("id as vector_id", "'v' as video_id", "array(cast(cos(id) as double), cast(sin(id) as double)) as vec")
+    assert q.count() > V.QUERY_BLOCK
+    got = V.knn(f, q, 1)
+    assert got.count() == 12_000
+    assert {r.vector_id for r in got.filter("query_id < 5 and query_id = vector_id").collect()} == set(range(5))
