@@ -190,3 +190,19 @@ def merge_times(base: Column, extra: Column, s: Column, e: Column, gap: float =
     """Both lists, clipped to s..e and sorted; times within ``gap`` of the last kept are dropped."""
     both = F.array_sort(F.filter(F.concat(base, extra), lambda t: (t >= s) & (t <= e)))
     return F.aggregate(both, F.array().cast("array<double>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) > gap), F.concat(a, F.array(t))).otherwise(a))
+
+
+def register(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """A register (of artifacts, model versions, finished videos) after new entries: the new one of a key wins, as a whole,
+    but for ``keep`` columns, which stay where the new entry has none. Both sides are unique by ``keys``."""
+    others = [c for c in old.columns if c not in keys]
+    a, b = old.withColumn("__o", F.lit(True)), new.withColumn("__n", F.lit(True))
+    both = a.alias("o").join(b.alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full_outer")
+    value = lambda c: F.when(F.col("n.__n").isNull(), F.col(f"o.{c}")).otherwise(F.coalesce(f"n.{c}", f"o.{c}") if c in keep else F.col(f"n.{c}")).alias(c)
+    return both.select(*(F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in keys), *(value(c) for c in others))
+
+
+def appended(old: DataFrame, new: DataFrame, order: Sequence[str], key: str = "vector_id") -> DataFrame:
+    """``old`` and the rows of ``new`` (without ``key``), numbered on from the largest key in ``order``."""
+    last = old.agg(F.coalesce(F.max(key), F.lit(-1))).first()[0]
+    return old.unionByName(dense_ids(new, order, last + 1, key).withColumn(key, F.col(key).cast(old.schema[key].dataType)))

@@ -66,3 +66,31 @@ def answers_match(predicted: Column, gold: Column, prefix: str = "màu ") -> Col
     """Equal normalised answers, also without the colour prefix; empty ones never match."""
     strip = lambda c: F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
     return F.coalesce((predicted != "") & (gold != "") & ((predicted == gold) | (strip(predicted) == strip(gold))), F.lit(False))
+
+
+def relevance(video: Column, frames: Column, answer: Column, gt_video: Column, ranges: Column, gt_answer: Column, task: str) -> Column:
+    """0..1: 0 in another video. Ordered events: the share of them within their ranges, 0 unless as many; else whether a
+    frame is in any range, and for questions whether the answers match too. Ranges are structs (lo, hi), ends included."""
+    within = lambda f, r: (f >= r["lo"]) & (f <= r["hi"])
+    if task == "trake":
+        pairs = F.zip_with(frames, ranges, lambda f, r: F.coalesce(within(f, r), F.lit(False)).cast("double"))
+        value = F.when((F.size(frames) == F.size(ranges)) & (F.size(frames) > 0), F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.size(frames)).otherwise(0.0)
+    else:
+        hit = F.exists(ranges, lambda r: F.exists(frames, lambda f: within(f, r)))
+        value = F.when(hit & (answers_match(answer, gt_answer) if task == "qa" else F.lit(True)), 1.0).otherwise(0.0)
+    return F.when(F.coalesce(video == gt_video, F.lit(False)), F.coalesce(value, F.lit(0.0))).otherwise(0.0)
+
+
+def same_meaning(predicted: Column, gold: Column, groups: list[list[str]]) -> Column:
+    """Equal normalised answers, or both of one group of synonyms; empty ones never match."""
+    out = predicted == gold
+    for g in groups:
+        out = out | (predicted.isin(g) & gold.isin(g))
+    return F.coalesce(out & (predicted != "") & (gold != ""), F.lit(False))
+
+
+def with_rates(candidates: DataFrame, videos: DataFrame) -> DataFrame:
+    """Candidates (video_id, frame_id, ...) with their video's ``fps`` and their ``seconds``; null where the rate is unknown."""
+    rates = videos.groupBy("video_id").agg(F.max("fps").alias("fps"))
+    fine = F.when(F.col("fps") > 0, F.col("fps"))
+    return candidates.join(rates, "video_id", "left").withColumns({"fps": fine, "seconds": F.col("frame_id") / fine})

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import VIDEO_KEY_SQL, millis, video_key
 from ..skew import grouped_cumsum
+from ..store import materialize
 from ..tables import table
 
 
@@ -25,6 +26,7 @@ def ranked_bounds(df: DataFrame, keys: Sequence[str], start: str, end: str) -> D
     good = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) > F.col(start)))
     bounds = good.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("__is_end"), F.col(start).alias("__x")), F.struct(F.lit(1).alias("__is_end"), F.col(end).alias("__x")))).alias("__b"))
     counted = bounds.groupBy(*keys, F.col("__b.__is_end").alias("__is_end"), F.col("__b.__x").alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    counted = materialize(counted, "bounds")  # read for hot entities, their cuts and their sums
     ranked = grouped_cumsum(counted, [*keys, "__is_end"], "__x", F.col("__n"), "__upto")
     rank = F.when(F.col("__is_end") == 1, F.col("__upto")).otherwise(F.col("__upto") - F.col("__n"))
     return ranked.groupBy(*keys, rank.alias("rank")).agg(F.max(F.when(F.col("__is_end") == 0, F.col("__x"))).alias("next_start"), F.max(F.when(F.col("__is_end") == 1, F.col("__x"))).alias("current_end"))
@@ -39,13 +41,13 @@ def interval_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -> D
 def interval_periods(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Continuous periods (keys..., period_start, period_end): the k-th opening bound paired with the k-th closing one."""
     keys = list(keys)
-    r = ranked_bounds(df, keys, start, end)
+    r = materialize(ranked_bounds(df, keys, start, end), "ranked")
     bound = lambda is_end, x: F.struct(F.lit(is_end).alias("__is_end"), F.col(x).alias("__x"))
     inner = r.filter(F.col("next_start") > F.col("current_end"))
     outer = r.groupBy(*keys).agg(F.min("next_start").alias("next_start"), F.max("current_end").alias("current_end"))
     edges = inner.select(*keys, "next_start", "current_end").unionByName(outer)
     edges = edges.select(*keys, F.explode(F.array(bound(0, "next_start"), bound(1, "current_end"))).alias("__b")).select(*keys, "__b.__is_end", "__b.__x")
-    numbered = grouped_cumsum(edges, [*keys, "__is_end"], "__x", F.lit(1).cast("bigint"), "__k")
+    numbered = grouped_cumsum(materialize(edges, "edges"), [*keys, "__is_end"], "__x", F.lit(1).cast("bigint"), "__k")
     return numbered.groupBy(*keys, "__k").agg(F.max(F.when(F.col("__is_end") == 0, F.col("__x"))).alias("period_start"), F.max(F.when(F.col("__is_end") == 1, F.col("__x"))).alias("period_end")).drop("__k")
 
 

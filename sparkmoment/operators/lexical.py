@@ -219,3 +219,48 @@ def feedback_terms(hits: DataFrame, text: str, stop: list[str], most: int = 3) -
     """The commonest words (2 letters or more, no stop words) of the best hits, for a second search; ties by word."""
     words = hits.select(F.explode(tokens(F.col(text))).alias("term")).filter((F.length("term") >= 2) & ~F.col("term").isin(stop))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(most)
+
+
+def match_signals(matches: DataFrame) -> DataFrame:
+    """(query_id, video_id, asr, dense, object): mean BM25, mean of the computed dense scores, and .1 per match, in place of one."""
+    dense = F.avg(F.when(F.col("dense_score") > 0, F.col("dense_score")))
+    return matches.groupBy("query_id", "video_id").agg(F.avg("bm25_score").alias("asr"), F.coalesce(dense, F.lit(0.0)).alias("dense"), (0.1 * F.count(F.lit(1))).alias("object"))
+
+
+def time_consistency(matches: DataFrame, strict: bool, alpha: float = 0.01, sigma: float = 30.0) -> DataFrame:
+    """(query_id, video_id, consistency) of matches in the order of their starts.
+
+    Sorted by time they are in order, so what counts is how close they follow: the gap factor, and when
+    the query is ``strict`` also exp(-alpha * step) for every step between their frames, as a share of the
+    frames' extent; the product over all steps is that of the way from the first to the last. A missing
+    frame is taken at 30 a second. Fewer than two starts give 1; the result lies within 0 and 1.
+    """
+    w = W.partitionBy("query_id", "video_id").orderBy("start", "match_id")
+    rows = matches.filter("start is not null").withColumns({"gap": F.lead("start").over(w) - F.col("start"), "f": F.coalesce("frame", F.floor(F.col("start") * 30).cast("bigint"))})
+    at = F.struct("start", "match_id")
+    way = (F.max_by("f", at) - F.min_by("f", at)) / F.nullif(F.max("f") - F.min("f"), F.lit(0))
+    g = rows.groupBy("query_id", "video_id").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("gap"), F.coalesce(way, F.lit(0.0)).alias("way"))
+    value = F.exp(-F.pow("gap", F.lit(2.0)) / F.lit(2 * sigma**2))
+    if strict:
+        value = value * F.exp(-alpha * F.col("way"))
+    return g.select("query_id", "video_id", F.when(F.col("n") < 2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("consistency"))
+
+
+def feedback_search(index: Bm25, texts: DataFrame, key: str, text: str, queries: Sequence[Sequence[str]], per_query: int, stop: Sequence[str], best: int = 5, first_weight: float = 1.0, second_weight: float = 0.4) -> DataFrame:
+    """(key, score): a search, and a second one for the first query with the commonest words of the best hits, fused by rank.
+
+    The constant is a fifth of the longer list, within 1 and 60. Without ``best`` hits there is no second search.
+    """
+    spark = texts.sparkSession
+    terms = spark.createDataFrame([(i, t) for i, q in enumerate(queries) for t in q], "query_id bigint, term string")
+    first = bm25_search(index, terms, per_query).groupBy("key").agg(F.max("score").alias("score"))
+    first = materialize(first, "hits")
+    top = first.orderBy(F.desc("score"), "key").limit(best)
+    if top.count() < best:
+        return first
+    more = feedback_terms(texts.join(F.broadcast(top.select(F.col("key").alias(key))), key, "left_semi"), text, list(stop))  # ``best`` rows
+    second = bm25_search(index, more.select(F.lit(0).cast("bigint").alias("query_id"), "term").unionByName(one_query(spark, list(queries[0]))), per_query)
+    n = max(first.count(), second.count())
+    ranked = lambda d, weight: d.select("key", F.row_number().over(W.orderBy(F.desc("score"), "key")).alias("rank"), F.lit(weight).alias("weight"))  # noqa: E731, lists of a search's length
+    both = ranked(first, first_weight).unionByName(ranked(second, second_weight))
+    return both.groupBy("key").agg(F.sum(F.col("weight") / (min(60, max(1, int(0.2 * n))) + F.col("rank"))).alias("score"))

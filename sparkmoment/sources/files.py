@@ -167,3 +167,42 @@ def zip_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFr
             yield pd.DataFrame(out, columns=["archive", "member", "text"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, text string")
+
+
+def read_video_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Video metadata of JSON lines, one row per video (the last line wins); missing keyword lists are empty."""
+    rows = read_json_lines(spark, path, VIDEO_META).filter("video_id is not null").withColumn("__n", F.monotonically_increasing_id())
+    last = rows.groupBy("video_id").agg(F.max_by(F.struct("title", "description", "metadata_keywords"), "__n").alias("x")).select("video_id", "x.*")
+    return last.withColumn("metadata_keywords", F.coalesce("metadata_keywords", F.array().cast("array<string>")))
+
+
+def write_video_meta(df: DataFrame, path: str) -> None:
+    df.select("video_id", "title", "description", "metadata_keywords").write.mode("overwrite").json(path)
+
+
+def read_colours(spark: SparkSession, path: str) -> DataFrame:
+    """(vector_id, dom, fracs, obj) of colour profiles in JSON lines; lines without an id are left out."""
+    return read_json_lines(spark, path, "vector_id bigint, dom string, fracs map<string,double>, obj map<string,array<string>>").filter("vector_id is not null")
+
+
+def append_json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("append").json(path)
+
+
+def write_report(results: DataFrame, path: str) -> None:
+    """Evaluation results as JSON lines in a new folder; an existing one is an error."""
+    results.write.mode("errorifexists").json(path)
+
+
+def package_submission(folder: str, target: str) -> str:
+    """The submission's files (a few small ones, written by ``write_submission``) in a ZIP under ``submission/``, by query.
+
+    Runs on the driver and writes where its file system says; Spark's own marker files are left out.
+    """
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        parts: dict[str, list[Path]] = {}
+        for p in sorted(Path(folder).rglob("part-*")):
+            parts.setdefault(p.parent.name.split("=", 1)[-1], []).append(p)
+        for query, files in parts.items():
+            z.writestr(f"submission/{query}.csv", "".join(p.read_text() for p in files))
+    return target
