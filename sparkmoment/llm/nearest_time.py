@@ -86,7 +86,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int = TOLERANC
     distance <= tolerance; of equally near records the one with the smaller right_no. Null entities
     and null times take no part; right records repeated at one time count once.
     """
-    width = tolerance * stretch
+    width = max(tolerance, 1) * stretch
     stretch_of = lambda t: F.floor(t / F.lit(float(width))).cast("bigint")
     lefts = left.filter("entity is not null and t is not null").select("entity", stretch_of(F.col("t")).alias("part"), "t", "left_no", F.lit(None).cast("bigint").alias("right_no"))
     hot = hot_keys(lefts, ["entity", "part"])  # stretches in which very many left records fall are split further

@@ -59,6 +59,11 @@ def test_same_look_pairs(spark, hot):
     df = spark.createDataFrame([("f", *x, 0) for x in t] + [("g", 12, "cá a", 0)], "field string, key bigint, text string, form int")
     assert rows(CN.same_look_pairs(df, "field", "key", "text")) == sorted([("f", 1, 2), ("f", 1, 3), ("f", 1, 4), ("f", 2, 3), ("f", 2, 4), ("f", 10, 11)], key=repr)
     assert rows(CN.same_look_pairs(df.limit(0), "field", "key", "text")) == []
+    pairs = rows(CN.same_look_pairs(df, "field", "key", "text"))
+    linked = {k for _, a, b in pairs for k in (a, b)}
+    got = {r.key: (r["class"], r.n_links) for r in CN.same_look_links(df, "field", "key", "text").collect()}
+    assert set(got) == linked and all(n == sum(k in p[1:] for p in pairs) for k, (_, n) in got.items())
+    assert {got[k][0] for k in (1, 2, 3, 4)} == {1} and {got[k][0] for k in (10, 11)} == {10}
 
 
 # --- 8 ------------------------------------------------------------------------------------------
@@ -204,6 +209,7 @@ def test_nearest_time_against_brute_force(spark, split, request):
     R = spark.createDataFrame(right, "entity string, t bigint, right_no bigint")
     got = {x.left_no: (x.right_no, x.distance) for x in NT.nearest_in_time(L, R, 200, 5).collect()}
     assert got == _nearest(left, right, 200)
+    assert {x.left_no: (x.right_no, x.distance) for x in NT.nearest_in_time(L, R, 0, 5).collect()} == _nearest(left, right, 0)
     assert rows(NT.nearest_in_time(L.limit(0), R)) == rows(NT.nearest_in_time(L, R.limit(0))) == []
 
 
