@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..skew import grouped_last, hot_keys
 from ..store import materialize
 from .ranking import islands
 
@@ -141,9 +142,12 @@ def uniform_times(duration: Column, fps: float) -> Column:
 
 def local_peaks(rows: DataFrame, key: str, time: str, value: str, least: float) -> DataFrame:
     """Interior rows above ``least`` that are no lower than either neighbour in time."""
-    w = W.partitionBy(key).orderBy(time, "vector_id")
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    return rows.withColumns({"__b": before, "__a": after}).filter((F.col(value) > least) & (F.col(value) >= F.col("__b")) & (F.col(value) >= F.col("__a"))).drop("__b", "__a")
+    seq = materialize(rows.withColumns({"__o": F.struct(value), "__t": -F.col(time), "__i": -F.col("vector_id")}), "sequence")
+    hot = hot_keys(seq, [key])
+    seq = grouped_last(seq, [key], time, ["vector_id"], "__o", "__b", hot, own=False)
+    seq = grouped_last(seq, [key], "__t", ["__i"], "__o", "__a", hot, own=False)
+    v = F.col(value)
+    return seq.filter((v > least) & (v >= F.col(f"__b.{value}")) & (v >= F.col(f"__a.{value}"))).drop("__b", "__a", "__o", "__t", "__i")
 
 
 def spaced(rows: DataFrame, keys: Sequence[str], time: str, value: str, tie: str, gap: float, most: int) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ranks import values_at
+
 CUTOFFS = (1, 5, 20, 50, 100)
 
 
@@ -33,21 +35,9 @@ def average_precision(ranked: DataFrame, query: str) -> DataFrame:
 def latency_quantiles(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Median and the 19th of 20 cut points by the exclusive method: (keys..., n, p50, p95).
 
-    The exclusive point is at h = .95 (n + 1), between the values ranked floor(h) and the next; two
-    ranks per group are picked out, the values are not collected.
+    The exclusive point is at .95 (n + 1), counted from 1, within the values there are.
     """
-    w = W.partitionBy(*keys).orderBy(x)
-    rows = df.filter(F.col(x).isNotNull()).withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    h = F.lit(0.95) * (F.col("n") + 1)
-    j = F.greatest(F.lit(1), F.least(F.floor(h), F.col("n") - 1))
-    g = rows.withColumns({"h": h, "j": j}).groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.percentile(x, F.lit(0.5)).alias("p50"),
-        F.max(F.when(F.col("r") == F.col("j"), F.col(x))).alias("a"),
-        F.max(F.when(F.col("r") == F.col("j") + 1, F.col(x))).alias("b"),
-        F.max(F.col("h") - F.col("j")).alias("d"),
-    )
-    return g.select(*keys, "n", "p50", F.coalesce(F.col("a") + F.col("d") * (F.col("b") - F.col("a")), F.col("a"), F.col("p50")).alias("p95"))
+    return values_at(df, keys, x, {"p50": lambda n: (n - 1) * F.lit(0.5), "p95": lambda n: F.greatest(F.lit(0.95) * (n + 1), F.lit(1.0)) - 1})
 
 
 def csv_field(answer: Column) -> Column:

@@ -120,9 +120,12 @@ def any_group_of_all(posts: DataFrame, key: str, groups: list[list[str]]) -> Dat
 
 def with_context(segments: DataFrame) -> DataFrame:
     """Segments with ``context``: their text between those of the neighbouring segments; blank ones are left out."""
-    w = W.partitionBy("video_id").orderBy("seg_idx")
-    parts = F.array(F.lag("text").over(w), F.col("text"), F.lead("text").over(w))
-    return segments.withColumn("context", F.array_join(F.filter(parts, lambda t: t.isNotNull() & t.rlike(r"[^\s\p{Z}]")), " "))
+    seq = materialize(segments.withColumns({"__o": F.struct("text"), "__back": -F.col("seg_idx")}), "segments")
+    hot = hot_keys(seq, ["video_id"])
+    seq = grouped_last(seq, ["video_id"], "seg_idx", (), "__o", "__b", hot, own=False)
+    seq = grouped_last(seq, ["video_id"], "__back", (), "__o", "__a", hot, own=False)
+    parts = F.array(F.col("__b.text"), F.col("text"), F.col("__a.text"))
+    return seq.drop("__o", "__back").withColumn("context", F.array_join(F.filter(parts, lambda t: t.isNotNull() & t.rlike(r"[^\s\p{Z}]")), " ")).drop("__a", "__b")
 
 
 def term_share(text: Column, terms: list[str]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..skew import grouped_cumsum, grouped_last, grouped_previous, hot_keys, salted_join
 from ..store import materialize
+from .ranks import values_at
 
 EPSILON = 1e-9
 RRF_K = 60
@@ -89,9 +90,9 @@ def sigmoid(x: Column, temperature: float = 1.0) -> Column:
 
 def by_percentile(df: DataFrame, keys: list[str], x: str, out: str, p: float = 90.0) -> DataFrame:
     """x over the group's p-th percentile (linear), clipped to 0..1; groups of one row, or a flat zero, give 1.0."""
-    stats = df.groupBy(*keys).agg(F.percentile(x, F.lit(p / 100)).alias("__p"), F.count(x).alias("__n"))
+    stats = values_at(df, keys, x, {"__p": lambda n: (n - 1) * F.lit(p / 100)}).withColumnRenamed("n", "__n")
     v = F.when((F.col("__n") < 2) | (F.abs(F.col("__p")) < EPSILON), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(x) / F.col("__p"))))
-    return df.join(stats, keys).withColumn(out, v).drop("__p", "__n")
+    return salted_join(df, stats, keys, "inner", [x]).withColumn(out, v).drop("__p", "__n")
 
 
 def modality_fusion(scores: DataFrame, weights: dict[str, float]) -> DataFrame:

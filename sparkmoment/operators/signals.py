@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..skew import grouped_last
@@ -50,16 +52,30 @@ def event_coverage(matches: DataFrame, events: DataFrame) -> DataFrame:
     return got.join(total, "query_id").select("query_id", "video_id", "matched", (F.col("matched") / F.col("total")).alias("coverage"), F.coalesce(F.col("w") / F.nullif("weight", F.lit(0.0)), F.lit(0.0)).alias("weighted"))
 
 
+def _turned(b: np.ndarray) -> int:
+    """Pairs whose first value is larger than their second, by halves."""
+    if len(b) <= 64:
+        return int(np.triu(b[:, None] > b[None, :], 1).sum())
+    half = len(b) // 2
+    left, right = b[:half], b[half:]
+    return _turned(left) + _turned(right) + int((half - np.searchsorted(np.sort(left), right, "right")).sum())
+
+
 def order_share(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
     """(keys..., tau): (Kendall's tau + 1) / 2 of two orders, ties counted as agreeing; 1 for fewer than two rows.
 
-    Pairs are compared within a group of matches of one query and video, where they are few.
+    A group is the matches of one query and video, as many as a search returns; its pairs in the other
+    order are counted by halves, not pair by pair. Rows without both values are left out.
     """
-    g = rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col(first).alias("a"), F.col(second).alias("b"))).alias("x"))
-    n = F.size("x")
-    bad = F.aggregate("x", F.lit(0), lambda s, p: s + F.size(F.filter("x", lambda q: (p["a"] < q["a"]) & (p["b"] > q["b"]))))
-    pairs = n * (n - 1) / 2
-    return g.select(*keys, F.when(n < 2, F.lit(1.0)).otherwise(1 - bad / pairs).alias("tau"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    fine = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(*keys, F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = pdf.b.to_numpy()[np.lexsort((pdf.b.to_numpy(), pdf.a.to_numpy()))]
+        n = len(b)
+        return pdf[keys].head(1).assign(tau=1.0 if n < 2 else 1 - _turned(b) / (n * (n - 1) / 2))
+
+    return fine.groupBy(*keys).applyInPandas(one, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", tau double")
 
 
 def forward_frames(targets: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -245,3 +245,11 @@ SELECT query_id, video_id, frame_id, rank, answer FROM ki JOIN fi USING (query_i
     "task_trake": _TRAKE_SQL,
     "task_notebook": _notebook_sql(),
 }
+#: Tasks by name.
+TASKS = {"kis": kis, "qa": qa, "trake": trake, "notebook": notebook}
+
+
+def task(name: str) -> Callable[..., DataFrame]:
+    if name not in TASKS:
+        raise KeyError(f"unknown task {name!r}; there are {', '.join(TASKS)}")
+    return TASKS[name]
