@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..skew import hot_keys, salted_join
 from ..store import materialize, release
 from ..tables import table
-from .canon import canon, canonical_sql
+from .canon import LETTERS, canon, canonical_sql, look_alikes
 from .textarrays import blocks, code_points, mix
 
 RUN = 15
@@ -68,12 +68,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, alike: tuple[str, str] = LETTERS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit names of the words of all rows, and the n + 1 offsets of the rows in them.
 
     Words are runs of letters and digits of the canonical text, letter case ignored.
     """
-    cps, off = canon(True)(*code_points(texts))
+    cps, off = canon(True, alike)(*code_points(texts))
     if not len(cps):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     inside = _words_of()(cps)
@@ -108,11 +108,12 @@ def shingles(names: np.ndarray, off: np.ndarray, w: int) -> tuple[np.ndarray, np
 
 def _item_shingles(items: DataFrame, run: int, w: int) -> DataFrame:
     """(item, pos, shingle) of all items with ``run`` words or more."""
+    alike = look_alikes(items.sparkSession)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in blocks(whole, "text"):
-                names, off = words(b.column(1))
+                names, off = words(b.column(1), alike)
                 h, inside = shingles(names, off, w)
                 row = np.searchsorted(off, np.arange(len(h)), "right") - 1
                 keep = np.flatnonzero(inside & (np.diff(off)[row] >= run))
@@ -133,12 +134,13 @@ def _bitmap(shingle_rows: DataFrame) -> np.ndarray:
 
 def _document_shingles(docs: DataFrame, bitmap, w: int, key_type: str) -> DataFrame:
     """(doc, pos, shingle) of all documents' shingles that pass the bitmap."""
+    alike = look_alikes(docs.sparkSession)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(bitmap.value, bitorder="little").astype(bool)
         for whole in batches:
             for b in blocks(whole, "text"):
-                names, off = words(b.column(1))
+                names, off = words(b.column(1), alike)
                 h, inside = shingles(names, off, w)
                 at = np.flatnonzero(inside & bits[h >> np.uint64(64 - BITS)])
                 row = np.searchsorted(off, at, "right") - 1

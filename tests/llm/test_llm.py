@@ -54,6 +54,15 @@ def test_same_look(a, b, same):
     assert (x == y) is same
 
 
+def test_look_alikes_are_those_of_the_public_table(spark):
+    src, dst = CN.look_alikes(spark)
+    table = dict(zip(src, dst, strict=True))
+    assert len(table) == len(src) > 100 and all(table[a] == b for a, b in zip(*CN.LETTERS))
+    assert table["α"] == "a" and table["Ꮃ"] == "W" and not set("aI1lыж中ا") & set(src)
+    df = spark.createDataFrame([("ραге",), (None,)], "t string")
+    assert [r.x for r in CN.with_canonical(df, "t", "x").collect()] == ["pare", None]
+
+
 def test_same_look_pairs(spark, hot):
     t = [(1, "cá a"), (2, "cá a"), (3, "cá a"), (4, "cá a"), (5, None), (6, "​  "), (7, " "), (8, "ca a"), (9, "cá a".upper()), (10, "x" * 50_000), (11, "x" * 50_000 + "‍")]
     df = spark.createDataFrame([("f", *x, 0) for x in t] + [("g", 12, "cá a", 0)], "field string, key bigint, text string, form int")
