@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from sparkmoment.functions import querytext as Q
+from sparkmoment.functions import intents as I, querytext as Q
 
 
 def plans(c, rows):
@@ -33,4 +33,13 @@ def neighbours(c, rows):
     return exact and recall >= 0.9 and len(found) == len(rows) == 20 * len(asked), f"recall {recall:.3f}"
 
 
-CHECKS = {"parse_query_udf": plans, "expand_query_udtf": expansions, "ann_every": neighbours}
+def signals(c, rows):
+    want = {}
+    for i, t in c.sql("SELECT kis_id, query FROM kis_dev").fetchall():
+        t = (t or "").strip()
+        w, p = Q.modality_weights(t), I.transcript_plan(t)
+        want[i] = {"chain": I.is_action_chain(t), "expand": I.should_expand(t), "long": len(t.split()) >= 12, "places": "|".join(Q.spatial(t)), **{k: w[k] for k in ("visual", "asr", "ocr", "object")}, "queries": "|".join(p.queries), "strict": p.strict}
+    return {r["kis_id"]: {k: v for k, v in r.items() if k != "kis_id"} for r in rows} == want, "signals text by text"
+
+
+CHECKS = {"query_signals_udf": signals, "parse_query_udf": plans, "expand_query_udtf": expansions, "ann_every": neighbours}
