@@ -242,7 +242,8 @@ def nearest_vectors(df: DataFrame, space: str, key: str, vec: str, k: int = K, t
     rows = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.hash("vec")})
     few = rows.withColumn("copy", F.row_number().over(W.partitionBy(*same).orderBy("id"))).filter(F.col("copy") <= k + 1)
     sizes = rows.groupBy("space").agg(functions_for(F.count(F.lit(1))).alias("functions"))
-    few = salted_join(few, sizes, ["space"], "inner", ["id"], hot_keys(df.select(F.xxhash64(space).alias("space")), ["space"]))
+    # Written once: the vectors are filed, counted and compared with their copies from there.
+    few = materialize(salted_join(few, sizes, ["space"], "inner", ["id"], hot_keys(df.select(F.xxhash64(space).alias("space")), ["space"])), "filed")
     own = _file(few, tables, width, 0).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     large = materialize(own.filter(F.col("n") > SPLIT_ABOVE).select("bucket", F.ceil(F.col("n") / PORTION).cast("int").alias("parts")), "large")
     found = _ranked(_portioned(_file(few, tables, width, probes), large), k)
@@ -250,7 +251,7 @@ def nearest_vectors(df: DataFrame, space: str, key: str, vec: str, k: int = K, t
     # Copies beyond the first k + 1 have the k first ones as their neighbours.
     firsts = few.groupBy(*same).agg(F.max("copy").alias("n"), F.max("id").alias("last"), F.array_sort(F.collect_list("id")).alias("ids")).filter(F.col("n") > k)
     firsts = firsts.select(*same, "last", F.slice("ids", 1, k).alias("ids"))
-    ids = rows.select("id", *same)
+    ids = materialize(rows.select("id", *same), "ids")
     more = salted_join(ids, firsts, same, "inner", ["id"], hot_keys(ids, same)).filter("id > last")
     more = more.select("id", F.posexplode("ids").alias("pos", "other")).select("id", "other", F.lit(1.0).alias("similarity"), (F.col("pos") + 1).alias("rank"))
     return found.unionByName(more)
