@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import tokens
-from ..skew import grouped_last, hot_keys
+from ..skew import grouped_last, hot_keys, spread
 from ..store import materialize
 from .catalog import spaced
 
@@ -18,12 +18,6 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 FEW_TERMS = 200
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it is read from fewer parts than there are cores, as one small file is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def term_counts(docs: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, dl, term, tf) of every document; documents without words have no row."""
     split = spread(docs).select(key, words.alias("words"))

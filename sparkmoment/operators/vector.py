@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.vectors import cosine, dot, norm, normalize
-from ..skew import grouped_places, salted_join
+from ..functions.vectors import FLOOR, cosine, dot, norm, normalize
+from ..skew import grouped_places, salted_join, spread
 
 #: Queries of a block; as many may be sent to every task at once.
 QUERY_BLOCK = 10_000
@@ -30,7 +31,7 @@ def scored(frames: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> D
     repeated GRID times and frames once per block. Rows whose query has no id are left out.
     """
     q = queries.select("query_id", normalize(F.col("qvec")).alias("qvec")).filter("query_id is not null")
-    f = frames.withColumn("vec", normalize(F.col("vec")))
+    f = spread(frames).withColumn("vec", normalize(F.col("vec")))
     n = q.count()
     if n <= block:
         pairs = f.crossJoin(F.broadcast(q))
@@ -42,15 +43,57 @@ def scored(frames: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> D
     return pairs.withColumn("score", dot(F.col("vec"), F.col("qvec"))).drop("qvec")
 
 
-def knn(frames: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Rows (query_id, vector_id, video_id, score, rank) of the k frames most similar to each query; ties by vector_id.
-
-    k <= 0 gives none; k beyond the frames gives all. The per-query cut is applied within each task
-    before rows move (a window group limit), so no task holds more than k rows per query.
+def _nearest(by_length: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """Function over batches (vector_id, video_id, vec): each query's k best of the batch, and what equals the last of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.asarray(b.column(2).value_lengths().fill_null(0))
+            for dim, (at, q) in by_length.items():
+                rows = np.flatnonzero(size == dim)
+                if not len(rows):
+                    continue
+                some = b.take(pa.array(rows))
+                x = np.asarray(some.column(2).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(rows), dim)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), FLOOR)
+                step = max(1, (1 << 22) // len(rows))
+                for lo in range(0, len(at), step):
+                    s = q[lo : lo + step] @ x.T
+                    s[np.isnan(s)] = -np.inf
+                    # A little below the k-th, for the order is that of rounded values.
+                    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 1e-9 if s.shape[1] > k else np.full(len(s), -np.inf)
+                    of, row = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[lo + of]), some.column(0).take(take), some.column(1).take(take), pa.array(s[of, row])], names=["__q", "vector_id", "video_id", "score"])
+
+    return run
+
+
+def knn(frames: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """Rows (query_id, vector_id, video_id, score, rank) of the k frames most similar to each query.
+
+    Similarities equal to nine decimals are ordered by vector_id. k <= 0 gives none; k beyond the frames
+    gives all. Null vectors, and those that aren't as long as a query, are none of its neighbours. Up to ``block`` queries
+    meet the frames as a matrix product where these lie, and each batch sends its k best a query; more
+    queries meet them in ``scored``'s grid.
     """
-    hits = scored(frames, queries).select("query_id", "vector_id", "video_id", "score")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vector_id")
+    rank = lambda hits: hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    q = queries.select("query_id", F.transform("qvec", lambda x: x.cast("double")).alias("qvec")).filter("query_id is not null and qvec is not null")
+    got = q.limit(block + 1).collect()
+    if len(got) > block:
+        hits = scored(frames.filter("vec is not null"), queries, block).select("query_id", "vector_id", "video_id", "score")
+        return rank(hits.filter("score is not null"))
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {len(r["qvec"]) for r in got} if k > 0 else ():
+        at = np.array([i for i, r in enumerate(got) if len(r["qvec"]) == dim])
+        m = np.array([[np.nan if x is None else x for x in got[i]["qvec"]] for i in at.tolist()])
+        by_length[dim] = (at, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), FLOOR))
+    kind = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    rows = spread(frames.select("vector_id", "video_id", "vec"))
+    hits = rows.mapInArrow(_nearest(by_length, k), f"__q bigint, vector_id {kind['vector_id']}, video_id {kind['video_id']}, score double")
+    names = frames.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(got)], T.StructType([T.StructField("__q", T.LongType()), queries.schema["query_id"]]))
+    return rank(hits.join(F.broadcast(names), "__q").select("query_id", "vector_id", "video_id", "score"))  # ``block`` rows at most
 
 
 def knn_one(frames: DataFrame, qvec: list[float], k: int) -> DataFrame:

@@ -29,8 +29,7 @@ def hybrid(frames: DataFrame, index: L.Bm25, qvecs: DataFrame, terms: DataFrame,
     ``vector_weight``. ``terms`` has (query_id, term). Scores equal to nine decimals are ranked by id.
     """
     flat = qvecs.withColumn("search", F.col("query_id")).withColumn("query_id", F.struct("search", "v"))
-    hits = V.scored(frames.select("vector_id", "vec"), flat).select("query_id", "vector_id", F.round("score", 9).alias("score"))
-    ranked = R.top_per_group(hits, ["query_id"], pool)
+    ranked = V.knn(frames, flat, pool)
     v = F.col("query_id.v")
     weight = vector_weight * F.when(v == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.2), 0.8 - 0.15 * (v - 1)))
     lists = ranked.select(F.col("query_id.search").alias("query_id"), F.col("vector_id").alias("id"), "rank", weight.alias("weight"))
