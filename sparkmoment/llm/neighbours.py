@@ -125,9 +125,10 @@ def _file(rows: DataFrame, tables: int, width: float, probes: int) -> DataFrame:
                 if not len(ok):
                     continue
                 x, ids, space = x[ok], np.asarray(part.column(1))[ok], np.asarray(part.column(0))[ok]
+                raw = _raw(x) if probes else None
                 for k, bucket in _buckets(x, space, m, tables, width, max(probes, 1)):
                     if probes:
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(x), 3 if k == 0 else 2, np.int8)), pa.array(ids), _raw(x)], names=["bucket", "role", "id", "raw"])
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(x), 3 if k == 0 else 2, np.int8)), pa.array(ids), raw], names=["bucket", "role", "id", "raw"])
                     else:
                         yield pa.RecordBatch.from_arrays([pa.array(bucket)], names=["bucket"])
 
@@ -246,7 +247,8 @@ def nearest_vectors(df: DataFrame, space: str, key: str, vec: str, k: int = K, t
     few = materialize(salted_join(few, sizes, ["space"], "inner", ["id"], hot_keys(df.select(F.xxhash64(space).alias("space")), ["space"])), "filed")
     own = _file(few, tables, width, 0).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     large = materialize(own.filter(F.col("n") > SPLIT_ABOVE).select("bucket", F.ceil(F.col("n") / PORTION).cast("int").alias("parts")), "large")
-    found = _ranked(_portioned(_file(few, tables, width, probes), large), k)
+    met = _file(few, tables, width, probes)
+    found = _ranked(met if large.isEmpty() else _portioned(met, large), k)
 
     # Copies beyond the first k + 1 have the k first ones as their neighbours.
     firsts = few.groupBy(*same).agg(F.max("copy").alias("n"), F.max("id").alias("last"), F.array_sort(F.collect_list("id")).alias("ids")).filter(F.col("n") > k)
