@@ -124,7 +124,7 @@ def islands(rows: DataFrame, keys: list[str], time: str, gap: float) -> DataFram
     Rows of one time fall in one session. A video with a large share of the rows is cut into parts in
     time; null keys make a group of their own.
     """
-    hot = hot_keys(rows, keys)
+    hot = hot_keys(rows.select(*keys), keys)
     before = grouped_previous(rows, keys, time, "__before", hot)
     flagged = before.withColumn("__new", F.coalesce((F.col(time) - F.col("__before") > gap).cast("int"), F.lit(0)))
     return grouped_cumsum(flagged, keys, time, F.col("__new"), "island", hot, peers=True).drop("__new", "__before")

@@ -15,6 +15,7 @@ from ..functions.keys import VIDEO_KEY_SQL, video_key
 from ..functions.text import FOLD_SQL, SPEECH_SQL, TOKENS_SQL, fold, speech_words, tokens
 from ..functions.vectors import dot, normalize
 from ..operators import align as A, lexical as L, objects as O, ranking as R, vector as V
+from ..store import materialize
 from ..tables import table
 from . import lexical, search
 
@@ -77,7 +78,9 @@ def trake(frames: DataFrame, events: DataFrame, n_events: int, coarse: int = COA
     centre = V.mean_pool(events.select(F.lit(0).alias("g"), normalize(F.col("qvec")).alias("vec")), ["g"]).select(F.col("vec").alias("centre"))
     pooled = V.mean_pool(frames, ["video_id"]).crossJoin(F.broadcast(centre))
     near = pooled.select("video_id", dot(F.col("vec"), F.col("centre")).alias("s")).orderBy(F.desc("s"), "video_id").limit(coarse).select("video_id")
-    chosen = A.positions(frames.join(near, "video_id", "left_semi"))
+    # The frames of at most ``coarse`` videos, written once: they are numbered, scored and named from there.
+    chosen = materialize(frames.join(near, "video_id", "left_semi").select("video_id", "frame_id", "vector_id", "vec"), "chosen")
+    chosen = materialize(A.positions(chosen), "placed")
     sim = A.similarities(V.scored(chosen, events).select("video_id", "pos", F.col("query_id").alias("event"), "score"), n_events)
     found = A.align(sim, n_events, penalty, decay)
     bonus = F.lit(0.0)
