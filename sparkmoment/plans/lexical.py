@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 from ..functions.keys import VIDEO_KEY_SQL, video_key
 from ..functions.text import FOLD_SQL, NORMALIZE_SQL, SPEECH_SQL, TOKENS_SQL, fold, format_timestamp, nfc, normalize_answer, speech_tokens, speech_words, tokens
 from ..operators import lexical as L, ranking as R
+from ..store import present
 from ..tables import table
 
 QUERIES, SQL = {}, {}
@@ -42,7 +43,7 @@ _INDEXES: dict[tuple[str, str, str], L.Bm25] = {}
 
 def indexed(s: SparkSession, d: str, name: str, build: Callable[[], L.Bm25]) -> L.Bm25:
     key = (s.sparkContext.applicationId, d, name)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not present(_INDEXES[key].postings):
         _INDEXES[key] = build()
     return _INDEXES[key]
 

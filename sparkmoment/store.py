@@ -57,3 +57,13 @@ def release(*tables: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def present(df: DataFrame) -> bool:
+    """Whether a table that ``materialize`` wrote is still there; the owner of the shared folder may have cleared it."""
+    _, path = _WRITTEN.get(id(df), (None, None))
+    if not path:
+        return False
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)

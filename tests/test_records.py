@@ -81,6 +81,19 @@ def test_index_is_kept_and_opened(spark, tmp_path):
     assert {1, 2, 5} <= {r.key for r in found}
 
 
+def test_an_index_is_built_again_when_its_folder_was_cleared(spark):
+    from sparkmoment import store
+    from sparkmoment.plans import lexical
+
+    d = "/root/testdata/sf0.001"
+    first = lexical.docs_index(spark, d)
+    assert lexical.docs_index(spark, d) is first and store.present(first.postings)
+    n = lexical.bm25_search(spark, d).count()
+    store.release(first.postings)
+    assert not store.present(first.postings) and lexical.docs_index(spark, d) is not first
+    assert lexical.bm25_search(spark, d).count() == n
+
+
 def test_files(spark, tmp_path):
     d = str(tmp_path)
     rows = spark.createDataFrame([("a", "t", None, ["k"]), ("a", "u", None, None)], S.VIDEO_META)
