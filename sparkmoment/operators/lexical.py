@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.text import tokens
 from ..skew import grouped_last, hot_keys, spread
 from ..store import materialize
+from .blocks import BLOCK, meet
 from .catalog import spaced
 
 #: Okapi parameters: term saturation, length normalisation, floor of negative idf as a share of the mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: So many terms are named in the filter that the files are read with; it changes what is read, not what is found.
 FEW_TERMS = 200
+#: Queries whose postings are summed up by key; of more, blocks meet the postings.
+FEW_QUERIES = 100
 
 
 def term_counts(docs: DataFrame, key: str, words: Column) -> DataFrame:
@@ -67,13 +73,75 @@ def bm25_index(docs: DataFrame, key: str, words: Column) -> Bm25:
     return Bm25(posts, terms, stats)
 
 
-def bm25_search(index: Bm25, queries: DataFrame, k: int) -> DataFrame:
+def _whole_documents(chunks: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """Tables of postings sorted by key, cut where the key changes."""
+    held = None
+    for t in chunks:
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        at = np.asarray(t["key"].combine_chunks().dictionary_encode(null_encoding="encode").indices)
+        cut = int(np.argmax(at == at[-1]))
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _block_best(k: int):
+    """Work of a block (``blocks.meet``): its queries (query_id, words) and all postings (key, term, share), sorted by key."""
+
+    def work(asked: pa.Table, chunks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        words = asked["words"].combine_chunks()
+        flat = words.flatten()
+        vocabulary = flat.field("term").unique()
+        code, weight = np.asarray(pc.index_in(flat.field("term"), vocabulary)), np.asarray(flat.field("weight"))
+        ends = np.cumsum(np.asarray(words.value_lengths()))
+        # Queries of the same words have the same documents.
+        same: dict[tuple, list[int]] = {}
+        for i, (lo, hi) in enumerate(zip(ends - np.asarray(words.value_lengths()), ends)):
+            same.setdefault(tuple(zip(code[lo:hi].tolist(), weight[lo:hi].tolist())), []).append(i)
+        best: dict[tuple, tuple[np.ndarray, pa.Array]] = {}
+        for t in _whole_documents(chunks):
+            term = np.asarray(pc.fill_null(pc.index_in(t["term"].combine_chunks(), vocabulary), -1))
+            by_term = np.argsort(term, kind="stable")
+            lo = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
+            keys = t["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+            doc, share, keys = np.asarray(keys.indices)[by_term], np.asarray(t["share"])[by_term], keys.dictionary
+            for bag in same:
+                total = np.zeros(len(keys))
+                for c, w in bag:
+                    total[doc[lo[c] : lo[c + 1]]] += w * share[lo[c] : lo[c + 1]]  # a document once a term
+                score, known = best.get(bag, (np.empty(0), None))
+                least = score[-1] if len(score) >= k else 0.0
+                at = np.flatnonzero(total > least)
+                new = np.round(total[at], 9)
+                at, new = at[new > least], new[new > least]  # what equals the k-th has a later key
+                if len(at) > k:
+                    upper = new >= np.partition(new, len(new) - k)[len(new) - k]
+                    at, new = at[upper], new[upper]
+                if len(at):
+                    score, some = np.concatenate([score, new]), keys.take(pa.array(at))
+                    order = np.argsort(-score, kind="stable")[:k]
+                    best[bag] = score[order], (some if known is None else pa.concat_arrays([known, some])).take(pa.array(order))
+        found = [(i, *best[bag]) for bag in best for i in same[bag]]
+        for lo in range(0, len(found), 64):
+            at, scores, keys = zip(*found[lo : lo + 64])
+            n = [len(x) for x in scores]
+            rank = np.concatenate([np.arange(1, x + 1, dtype=np.int32) for x in n])
+            ids = asked["query_id"].combine_chunks().take(pa.array(np.repeat(at, n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.concat_arrays(keys), pa.array(np.concatenate(scores)), pa.array(rank)], names=["query_id", "key", "score", "rank"])
+
+    return work
+
+
+def bm25_search(index: Bm25, queries: DataFrame, k: int, few: int = FEW_QUERIES, block: int = BLOCK) -> DataFrame:
     """(query_id, key, score, rank): the k documents with the highest BM25 score above 0 for each query's terms.
 
     ``queries`` has (query_id, term), one row for every time a term counts. Scores equal to nine decimals
-    (sums come in any order) are ranked by key. A document
+    (sums come in any order) are ranked by key. Of up to ``few`` queries, a document
     found by several terms is summed up in parts before it moves, and only k documents a task and
-    query are ranked.
+    query are ranked. Of more, each ``block`` meets the postings of all their terms in one task, in the order of
+    the key, and only the k best leave it.
     """
     q = queries.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(index.terms.select("term", "idf"), "term").filter("idf <> 0")
     wanted = q.select("term").distinct()
@@ -81,8 +149,15 @@ def bm25_search(index: Bm25, queries: DataFrame, k: int) -> DataFrame:
     # A few terms are pushed down to the files; many are joined.
     posts = index.postings.filter(F.col("term").isin([r[0] for r in some])) if len(some) <= FEW_TERMS else index.postings
     tf, share = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
+    posts = posts.crossJoin(F.broadcast(index.stats))  # stats: one row
+    n = q.select("query_id").distinct().count() if k > 0 else 0
+    if n > few:
+        words = q.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("weight")))).alias("words"))
+        rows = (posts if len(some) <= FEW_TERMS else posts.join(wanted, "term", "left_semi")).select("key", "term", (tf * (K1 + 1) / (tf + K1 * share)).alias("share"))
+        kind = T.StructType([T.StructField(f.name, f.dataType) for f in (words.schema["query_id"], rows.schema["key"])] + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+        return meet(words, n, rows, "key", _block_best(k), kind, block)
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * share)
-    hits = posts.crossJoin(F.broadcast(index.stats)).join(q, "term").groupBy("query_id", "key").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")  # stats: one row
+    hits = posts.join(q, "term").groupBy("query_id", "key").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -1,8 +1,8 @@
 """Cosine search and pooling of frame vectors.
 
 Queries are few rows by nature (a user's query and its variants) and are sent to the vectors, once they
-are counted; more of them meet the vectors in a grid of blocks. Similarities are computed where the
-vectors lie, so a search moves k rows per task and query only.
+are counted; similarities are computed where the vectors lie, so a search moves k rows per task and query
+only. Many queries are cut into blocks, and each block meets all vectors in one task that keeps its k best.
 """
 
 from __future__ import annotations
@@ -16,9 +16,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions.vectors import FLOOR, cosine, dot, norm, normalize
 from ..skew import grouped_places, salted_join, spread
+from .blocks import BLOCK, CHUNK, meet
 
 #: Queries of a block; as many may be sent to every task at once.
 QUERY_BLOCK = 10_000
+#: Queries of ``knn`` that are sent to the vectors; of more, blocks meet all vectors.
+FEW_QUERIES = 1_000
+#: About as many similarities a task of such a block looks at together.
+CELLS = 1 << 22
 #: Parts of the vectors that meet each block of queries in a task of their own.
 GRID = 64
 
@@ -69,21 +74,93 @@ def _nearest(by_length: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     return run
 
 
-def knn(frames: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def _unit(vecs: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lists of ``dim`` numbers, and these scaled to unit length; a null in a list is NaN."""
+    at = np.flatnonzero(np.asarray(vecs.value_lengths().fill_null(0)) == dim)
+    x = np.asarray(vecs.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(at), dim)
+    return at, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), FLOOR)
+
+
+class _Best:
+    """The k rows most similar to each of some queries among the rows seen so far; of equals those that came first."""
+
+    def __init__(self, at: np.ndarray, q: np.ndarray, k: int):
+        self.at, self.q, self.k = at, q, k
+        self.of, self.score, self.ids, self.least = np.empty(0, int), np.empty(0), None, None
+
+    def add(self, x: np.ndarray, ids: pa.Table) -> None:
+        s, k = self.q @ x.T, self.k
+        if self.least is None:
+            s[np.isnan(s)] = -np.inf
+            # A little below the k-th, for the order is that of rounded values.
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 1e-9 if s.shape[1] > k else np.full(len(s), -np.inf)
+        else:
+            least = self.least + 4e-10  # what rounds to the k-th came too late
+        of, row = np.nonzero(s > least[:, None])
+        if self.least is not None and not len(of):
+            return
+        some = ids.take(pa.array(row))
+        of, score = np.concatenate([self.of, of]), np.concatenate([self.score, s[of, row]])
+        rounded = np.round(score, 9)
+        order = np.lexsort((-rounded, of))  # stable
+        n = np.bincount(of, minlength=len(self.q))
+        start = np.cumsum(n) - n
+        order = order[np.arange(len(of)) - np.repeat(start, n) < k]
+        self.of, self.score = of[order], score[order]
+        self.ids = (some if self.ids is None else pa.concat_tables([self.ids, some])).take(pa.array(order)).combine_chunks()
+        n = np.minimum(n, k)
+        self.least = np.full(len(self.q), -np.inf)
+        full = np.flatnonzero(n == k)
+        self.least[full] = np.round(self.score[(np.cumsum(n) - 1)[full]], 9)
+
+    def rows(self, query_ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        if self.ids is None or not len(self.of):
+            return
+        n = np.bincount(self.of, minlength=len(self.q))
+        rank = np.arange(len(self.of)) - np.repeat(np.cumsum(n) - n, n) + 1
+        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(self.at[self.of])), *(c.combine_chunks() for c in self.ids.columns), pa.array(self.score), pa.array(rank.astype(np.int32))], names=["query_id", "vector_id", "video_id", "score", "rank"])
+
+
+def _block_best(k: int):
+    """Work of a block (``blocks.meet``): its queries (query_id, qvec) and all rows (vector_id, video_id, vec), sorted by vector_id."""
+
+    def work(asked: pa.Table, chunks: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        query_ids, qvecs = (asked[c].combine_chunks() for c in ("query_id", "qvec"))
+        step = max(1, CELLS // CHUNK)
+        parts: dict[int, list[_Best]] = {}
+        for dim in np.unique(np.asarray(qvecs.value_lengths())).tolist():
+            at, q = _unit(qvecs, dim)
+            parts[dim] = [_Best(at[i : i + step], q[i : i + step], k) for i in range(0, len(at), step)]
+        for rows in chunks:
+            for dim, some in parts.items():
+                at, x = _unit(rows["vec"].combine_chunks(), dim)
+                if len(at):
+                    ids = rows.select(["vector_id", "video_id"]).take(pa.array(at))
+                    for p in some:
+                        p.add(x, ids)
+        for p in [p for some in parts.values() for p in some]:
+            yield from p.rows(query_ids)
+
+    return work
+
+
+def knn(frames: DataFrame, queries: DataFrame, k: int, few: int = FEW_QUERIES, block: int = BLOCK) -> DataFrame:
     """Rows (query_id, vector_id, video_id, score, rank) of the k frames most similar to each query.
 
     Similarities equal to nine decimals are ordered by vector_id. k <= 0 gives none; k beyond the frames
-    gives all. Null vectors, and those that aren't as long as a query, are none of its neighbours. Up to ``block`` queries
-    meet the frames as a matrix product where these lie, and each batch sends its k best a query; more
-    queries meet them in ``scored``'s grid.
+    gives all. Null vectors, and those that aren't as long as a query, are none of its neighbours. Up to ``few`` queries
+    meet the frames as a matrix product where these lie, and each batch sends its k best a query. Of more, each
+    ``block`` meets all frames in one task, in the order of vector_id, and only the k best leave it.
     """
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vector_id")
     rank = lambda hits: hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     q = queries.select("query_id", F.transform("qvec", lambda x: x.cast("double")).alias("qvec")).filter("query_id is not null and qvec is not null")
-    got = q.limit(block + 1).collect()
-    if len(got) > block:
-        hits = scored(frames.filter("vec is not null"), queries, block).select("query_id", "vector_id", "video_id", "score")
-        return rank(hits.filter("score is not null"))
+    got = q.limit(few + 1).collect()
+    if len(got) > few and k > 0:
+        rows = frames.filter("vec is not null").select("vector_id", "video_id", "vec")
+        fields = [queries.schema["query_id"], *(rows.schema[c] for c in ("vector_id", "video_id"))]
+        kind = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+        return meet(q, q.count(), rows, "vector_id", _block_best(k), kind, block)
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {len(r["qvec"]) for r in got} if k > 0 else ():
         at = np.array([i for i, r in enumerate(got) if len(r["qvec"]) == dim])
@@ -93,7 +170,7 @@ def knn(frames: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK)
     rows = spread(frames.select("vector_id", "video_id", "vec"))
     hits = rows.mapInArrow(_nearest(by_length, k), f"__q bigint, vector_id {kind['vector_id']}, video_id {kind['video_id']}, score double")
     names = frames.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(got)], T.StructType([T.StructField("__q", T.LongType()), queries.schema["query_id"]]))
-    return rank(hits.join(F.broadcast(names), "__q").select("query_id", "vector_id", "video_id", "score"))  # ``block`` rows at most
+    return rank(hits.join(F.broadcast(names), "__q").select("query_id", "vector_id", "video_id", "score"))  # ``few`` rows at most
 
 
 def knn_one(frames: DataFrame, qvec: list[float], k: int) -> DataFrame:

@@ -35,7 +35,8 @@ def hybrid(frames: DataFrame, index: L.Bm25, qvecs: DataFrame, terms: DataFrame,
     weight = vector_weight * F.when(v == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.2), 0.8 - 0.15 * (v - 1)))
     lists = ranked.select(F.col("query_id.search").alias("query_id"), F.col("vector_id").alias("id"), "rank", weight.alias("weight"))
     found = L.bm25_search(index, terms, pool).select("query_id", F.col("key").alias("id"), "rank", F.lit(term_weight).alias("weight"))
-    return R.rrf(lists.unionByName(found), None, pool, ["query_id"]).select("query_id", F.col("id").alias("vector_id"), "score")
+    both = lists.unionByName(found).repartition("query_id")  # a search's lists are ``pool`` long
+    return R.rrf(both, None, pool, ["query_id"]).select("query_id", F.col("id").alias("vector_id"), "score")
 
 
 def kis(frames: DataFrame, fused: DataFrame, concepts: DataFrame | None = None, answers: int = ANSWERS, per_video: int = PER_VIDEO, prefixes: Sequence[str] = (), evidence_weight: float = 0.03) -> DataFrame:
@@ -131,18 +132,19 @@ f AS MATERIALIZED (SELECT * EXCLUDE v0, v0, list_transform(v0, lambda x: x / gre
 """
 
 
-def _searches(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _searches(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every frame whose id is divisible by 20 as a search for frames like it: its vector, the words of its labels, the labels."""
-    q = _frames(s, d).filter(F.col("vector_id") % 20 == 0).select(F.col("vector_id").alias("query_id"), F.lit(0).alias("v"), F.col("vec").alias("qvec"), "labels")
+    q = frames.filter(F.col("vector_id") % 20 == 0).select(F.col("vector_id").alias("query_id"), F.lit(0).alias("v"), F.col("vec").alias("qvec"), "labels")
     terms = q.select("query_id", F.explode(tokens(F.array_join("labels", " "))).alias("term"))
     return q.select("query_id", "v", "qvec"), terms, q.select("query_id", F.col("labels").alias("concepts"))
 
 
-def _hybrid(s, d) -> tuple[DataFrame, DataFrame]:
-    frames = _frames(s, d)
+def _hybrid(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The frames, what ``hybrid`` finds and the searches' concepts."""
+    frames = materialize(_frames(s, d), "frames")
     index = lexical.indexed(s, d, "frames", lambda: L.bm25_index(frames, "vector_id", tokens(F.col("text"))))
-    q, terms, concepts = _searches(s, d)
-    return hybrid(frames, index, q, terms), concepts
+    q, terms, concepts = _searches(frames)
+    return frames, hybrid(frames, index, q, terms), concepts
 
 
 def _hybrid_sql() -> str:
@@ -170,12 +172,11 @@ ki AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 
 def hybrid_rrf(s, d):
     """Vector and BM25 lists of every search, fused by rank."""
-    return _hybrid(s, d)[0].select("query_id", "vector_id", F.round("score", 9).alias("score"))
+    return _hybrid(s, d)[1].select("query_id", "vector_id", F.round("score", 9).alias("score"))
 
 
 def _kis(s, d) -> DataFrame:
-    fused, concepts = _hybrid(s, d)
-    return kis(_frames(s, d), fused, concepts)
+    return kis(*_hybrid(s, d))
 
 
 def task_kis(s, d):
