@@ -54,6 +54,7 @@ def kis(frames: DataFrame, fused: DataFrame, concepts: DataFrame | None = None,
         wanted = F.array_distinct("concepts")
         share = F.size(F.array_intersect(F.coalesce("labels", F.array().cast("array<string>")), wanted)) / F.nullif(F.size(wanted), F.lit(0))
         rows = rows.withColumn("score", F.col("score") + F.coalesce(O.evidence_adjustment(share, evidence_weight), F.lit(0.0)))
+    rows = rows.select("query_id", "video_id", "frame_id", "vector_id", "score").repartition("query_id")  # few rows a search, ranked where they lie
     best = R.best_per(rows, ["query_id", "video_id", "frame_id"])
     out = R.diversify(best, per_video, answers, ["query_id"])
     return out.select("query_id", "video_id", "frame_id", "vector_id", "score", "rank")

@@ -59,3 +59,13 @@ def test_many_searches_pair_nothing_with_every_row(spark):
     hits = V.knn(f, q, 5)
     assert "Join" not in hits._jdf.queryExecution().executedPlan().toString()
     assert hits.count() == 60_000
+
+
+def test_kis_ranks_a_search_where_its_rows_lie(spark):
+    frames = spark.range(60).select(F.col("id").alias("vector_id"), F.concat(F.lit("V"), (F.col("id") % 3).cast("string")).alias("video_id"), (F.col("id") % 20).alias("frame_id"), F.array(F.lit("car")).alias("labels"))
+    fused = spark.range(120).select((F.col("id") % 2).alias("query_id"), (F.col("id") % 60).alias("vector_id"), (1 / (F.col("id") + 1)).alias("score"))
+    out = tasks.kis(frames, fused, answers=10, per_video=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line]
+    assert len(moved) == 1 and "video_id" not in moved[0]
+    assert [r["rank"] for r in out.filter("query_id = 1").orderBy("rank").collect()] == list(range(1, 11))
