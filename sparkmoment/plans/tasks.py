@@ -65,6 +65,7 @@ def qa(candidates: DataFrame, answerer: Callable[[DataFrame], DataFrame], videos
 
     ``answerer`` maps rows (query_id, video_id, vector_id) to (query_id, video_id, answer); videos without one have null.
     """
+    candidates = materialize(candidates, "candidates")  # read three times
     first = candidates.groupBy("query_id", "video_id").agg(F.min("rank").alias("first"), F.min_by("vector_id", "rank").alias("vector_id"))
     first = first.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("first"))).filter(F.col("r") <= videos)
     answers = answerer(first.select("query_id", "video_id", "vector_id")).select("query_id", "video_id", "answer")

@@ -69,3 +69,18 @@ def test_kis_ranks_a_search_where_its_rows_lie(spark):
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line]
     assert len(moved) == 1 and "video_id" not in moved[0]
     assert [r["rank"] for r in out.filter("query_id = 1").orderBy("rank").collect()] == list(range(1, 11))
+
+
+def test_qa_finds_its_candidates_once(spark):
+    looked = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            looked.add(len(b))
+            yield b
+
+    c = spark.range(40).select((F.col("id") % 2).alias("query_id"), F.concat(F.lit("V"), (F.col("id") % 5).cast("string")).alias("video_id"), F.col("id").alias("vector_id"), F.col("id").alias("rank"))
+    c = c.mapInArrow(counted, c.schema)
+    got = tasks.qa(c, lambda rows: rows.select("query_id", "video_id", F.lit("a").alias("answer")), 3).collect()
+    assert len(got) == 24 and {r.answer for r in got} == {"a"}
+    assert looked.value == 40
